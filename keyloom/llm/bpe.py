@@ -53,7 +53,7 @@ class Transducer:
     built anew, so memory is bounded whatever the texts are.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000, max_pieces: int = 100_000):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -117,7 +117,7 @@ class Transducer:
         key = a << 32 | b
         ok = self._pairs.get(key)
         if ok is None:
-            if len(self._pairs) > 500_000:
+            if len(self._pairs) > 200_000:
                 self._pairs.clear()
             xs, ys, i, j, ok = self._spines(a)[1], left[0], 0, 0, True
             end, token, ranks = 1 << 60, self.token, self.ranks
@@ -298,30 +298,57 @@ def _made(kind: type, raw: bytes, *args):
     return _MADE[key]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>): each whole text encoded, null as empty."""
+def _slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Small parts of a batch, so that a worker holds the Python objects of few texts at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _mapped(df: DataFrame, ranks_path: str, columns: list[str], schema: str, work) -> DataFrame:
+    """``work(ranks file, column of the second name as list)`` gives the arrays that follow the id."""
     raw = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kind = df.schema[id_col].dataType.simpleString()
+    kind = df.schema[columns[0]].dataType.simpleString()
+    names = ["id", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _made(Encoder, raw.value, pattern)
         for batch in batches:
-            ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+            for part in _slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), *work(raw.value, part.column(1).to_pylist())], names=names)
+
+    out = df.select(F.col(columns[0]).alias("id"), F.col(columns[1]).alias("x")).mapInArrow(run, f"id {kind}, {schema}")
+    return out.withColumnRenamed("id", columns[0])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+
+def _ids(ids: list[list[int]]) -> pa.Array:
+    return pa.array(ids, pa.list_(pa.int32()))
+
+
+def _decoded(coder: Decoder, ids: list[list[int] | None]) -> list[pa.Array]:
+    out = [coder.decode(x or ()) for x in ids]
+    return [pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.string())]
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids array<int>): each whole text encoded, null as empty."""
+
+    def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
+        coder = _made(Encoder, raw, pattern)
+        return [_ids([coder.encode(t) for t in texts])]
+
+    return _mapped(df, ranks_path, [id_col, text_col], "ids array<int>", work)
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id_col, ids, decoded binary, decoded_text string) from token ids; null ids as none."""
-    raw = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kind = df.schema[id_col].dataType.simpleString()
+    """(id_col, decoded binary, decoded_text string) from token ids; null ids as none."""
+    return _mapped(df, ranks_path, [id_col, ids_col], "decoded binary, decoded_text string", lambda raw, ids: _decoded(_made(Decoder, raw), ids))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _made(Decoder, raw.value)
-        for batch in batches:
-            out = [coder.decode(x or ()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.string())], names=["id", "ids", "decoded", "decoded_text"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary, decoded_text string")
-    return out.withColumnRenamed("id", id_col)
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, ids, decoded, decoded_text): both directions in one pass, with one worker a task."""
+
+    def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
+        coder = _made(Encoder, raw, pattern)
+        ids = [coder.encode(t) for t in texts]
+        return [_ids(ids), *_decoded(_made(Decoder, raw), ids)]
+
+    return _mapped(df, ranks_path, [id_col, text_col], "ids array<int>, decoded binary, decoded_text string", work)
