@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe
-from keyloom.llm.common import table
+from keyloom.llm import bpe, lang_id, quality, toxicity
+from keyloom.llm.common import crc_mod, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(ids, ranks).select(
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -25,8 +24,38 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learnt from documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = lang_id.train(docs.where(crc_mod("doc_id", 3) != 1))
+    return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, name: str, m: int, held_out: int) -> DataFrame:
+    """Labelled texts outside the held-out fold."""
+    rows = labels.select("doc_id", name).where(crc_mod("doc_id", m) != held_out)
+    return docs.select("doc_id", "text").join(rows, "doc_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; labels learnt from outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(_labelled(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0), F.col("toxic"))
+    return toxicity.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; labels learnt from outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, _labelled(docs, table(spark, sf_dir, "labels"), "quality", 4, 2), F.col("quality"))
+    return quality.score(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
