@@ -40,26 +40,34 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class _State:
-    __slots__ = ("configs", "next", "final")
+    """Configurations as one flat tuple of last token, node and pending output; arcs by byte.
 
-    def __init__(self, configs: tuple, final: tuple[int, ...]):
-        self.configs, self.next, self.final = configs, {}, final
+    An arc is the next state, or (next state, output) if it emits.
+    """
+
+    __slots__ = ("configs", "next")
+
+    def __init__(self, configs: tuple):
+        self.configs, self.next = configs, {}
 
 
 class Transducer:
     """Encodes one piece (a match of the pre-tokenizer's pattern) at a time.
 
-    ``max_states`` and ``max_pieces`` bound the lazily built tables; a full table is emptied and
-    built anew, so memory is bounded whatever the texts are.
+    ``max_states`` and ``max_pieces`` bound the lazily built tables, so memory is bounded whatever
+    the texts are: a full table of states is built anew, and of pieces two generations are kept.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000, max_pieces: int = 100_000):
+    FEW = 24
+
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pieces: int = 150_000):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("a byte-level vocabulary needs all 256 single bytes")
         self.child: dict[int, int] = {}
         self.accept: list[int] = [-1]
+        self.first: list[bytes] = [b""]
         for t, i in ranks.items():
             node = 0
             for b in t:
@@ -67,17 +75,38 @@ class Transducer:
                 if nxt is None:
                     nxt = self.child[node << 8 | b] = len(self.accept)
                     self.accept.append(-1)
+                    self.first.append(t[:1])
                 node = nxt
             self.accept[node] = i
         self.max_states, self.max_pieces = max_states, max_pieces
         self._pairs: dict[int, bool] = {}
         self._own: dict[int, tuple | None] = {}
+        self._live: dict[int, bool] = {}
+        # below each node: the lowest rank at which a token's first byte merges, and the tokens if they are few
+        self.low = [1 << 60] * len(self.accept)
+        self.few: list[list[int] | None] = [[] for _ in self.accept]
+        for t, i in ranks.items():
+            spines = self._spines(i)
+            if spines is None or len(t) < 2:
+                continue
+            first, node = spines[0][1], 0
+            for b in t[:-1]:
+                node = self.child[node << 8 | b]
+                if first < self.low[node]:
+                    self.low[node] = first
+                held = self.few[node]
+                if held is not None:
+                    if len(held) < self.FEW:
+                        held.append(i)
+                    else:
+                        self.few[node] = None
         self._reset()
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
-        self.start = self._state(((-1, 0, ()),))
+        self.start = self.states[(-1, 0, ())] = _State((-1, 0, ()))
 
     def _spines(self, t: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
         """Tokens along the left and the right edge of the tree that merges build over token ``t``.
@@ -137,26 +166,46 @@ class Transducer:
             self._pairs[key] = ok
         return ok
 
-    def _state(self, configs: tuple) -> _State:
-        found = self.states.get(configs)
-        if found is None:
-            found = self.states[configs] = _State(configs, configs[-1][2])
-        return found
+    def _alive(self, last: int, node: int) -> bool:
+        """False if surely no token below ``node`` is compatible with ``last``.
+
+        If the bytes at the boundary merge before either side's first merge, none is; where few
+        tokens are below the node, each is tried. Configurations that wait in vain would only
+        multiply states and delay output.
+        """
+        key = last << 32 | node
+        ok = self._live.get(key)
+        if ok is None:
+            if len(self._live) > 400_000:
+                self._live.clear()
+            if last < 0:
+                ok = self.low[node] < 1 << 60
+            else:
+                xs, first = self._spines(last)[1], self.first[node]
+                r = self.ranks.get(self.token[xs[0]] + first)
+                few = self.few[node]
+                if r is not None and r <= self.low[node] and (len(xs) == 1 or r < xs[1]):
+                    ok = False
+                else:
+                    ok = few is None or any(self._compatible(last, t) for t in few)
+            self._live[key] = ok
+        return ok
 
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
+    def _step(self, state: _State, byte: int) -> _State | tuple[_State, tuple[int, ...]]:
         """The transition, determinised when first taken: the next state and what is emitted."""
-        child, accept = self.child, self.accept
+        child, accept, alive, old = self.child, self.accept, self._alive, state.configs
         outs, ends = [], []  # configurations stay in the order of their last token's end; the one at the root is the last
-        new = None
-        for last, node, out in state.configs:
-            nxt = child.get(node << 8 | byte)
+        new, at_root = None, -1
+        for i in range(0, len(old), 3):
+            last, out = old[i], old[i + 2]
+            nxt = child.get(old[i + 1] << 8 | byte)
             if nxt is not None:
-                outs.append(out)
-                ends.append((last, nxt))
+                if alive(last, nxt):
+                    outs.append(out)
+                    ends.append((last, nxt))
                 t = accept[nxt]
                 if t >= 0 and new is None and self._compatible(last, t):
-                    new = (*out, t)
-                    at_root = t
+                    new, at_root = (*out, t), t
         outs.append(new)
         ends.append((at_root, 0))
         first = outs[0]
@@ -165,14 +214,16 @@ class Transducer:
             for out in outs:
                 while first[:shared] != out[:shared]:
                     shared -= 1
-        configs = tuple([(last, node, out[shared:]) for (last, node), out in zip(ends, outs)])
+        flat: list = []
+        for (last, node), out in zip(ends, outs):
+            flat += (last, node, out[shared:])
+        configs = tuple(flat)
         found = self.states.get(configs)
         if found is None:
             if len(self.states) >= self.max_states:
                 self._reset()
-            found = self._state(configs)
-        arc = (found, first[:shared])
-        state.next[byte] = arc
+            found = self.states[configs] = _State(configs)
+        arc = state.next[byte] = (found, first[:shared]) if shared else found
         return arc
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
@@ -180,12 +231,14 @@ class Transducer:
         state = self.start
         for chunk in chunks:
             for b in chunk:
-                state, out = state.next.get(b) or self._step(state, b)
-                yield from out
-        yield from state.final
+                state = state.next.get(b) or self._step(state, b)
+                if type(state) is tuple:
+                    state, out = state
+                    yield from out
+        yield from state.configs[-1]
 
     def piece(self, text: str) -> tuple[int, ...]:
-        got = self.pieces.get(text)
+        got = self.older.get(text)
         if got is None:
             raw = text.encode("utf-8")
             whole = self.ranks.get(raw)
@@ -194,15 +247,17 @@ class Transducer:
             else:
                 state, ids = self.start, []
                 for b in raw:
-                    arc = state.next.get(b) or self._step(state, b)
-                    state = arc[0]
-                    if arc[1]:
-                        ids += arc[1]
-                got = (*ids, *state.final)
-            if len(raw) <= 64:
-                if len(self.pieces) >= self.max_pieces:
-                    self.pieces.clear()
-                self.pieces[text] = got
+                    state = state.next.get(b) or self._step(state, b)
+                    if type(state) is tuple:
+                        ids += state[1]
+                        state = state[0]
+                got = (*ids, *state.configs[-1])
+            if len(raw) > 64:
+                return got
+        if len(self.pieces) >= self.max_pieces:
+            self.older = dict(self.pieces)
+            self.pieces.clear()
+        self.pieces[text] = got
         return got
 
 
