@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, lang_id, quality, toxicity
+from keyloom.llm import bpe, lang_id, pii, quality, toxicity
 from keyloom.llm.common import crc_mod, table
 
 
@@ -24,6 +24,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document, counted and digested."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE),
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learnt from documents outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
