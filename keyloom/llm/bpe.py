@@ -16,8 +16,11 @@ Null texts are encoded as empty ones. Empty texts give no tokens. Other columns
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -60,7 +63,7 @@ class Transducer:
 
     FEW = 24
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pieces: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 350_000, max_pieces: int = 250_000):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -101,8 +104,8 @@ class Transducer:
                     else:
                         self.few[node] = None
         self._reset()
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
@@ -237,13 +240,14 @@ class Transducer:
                     yield from out
         yield from state.configs[-1]
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
+        """The tokens of one piece as packed 32-bit integers."""
         got = self.older.get(text)
         if got is None:
             raw = text.encode("utf-8")
             whole = self.ranks.get(raw)
             if whole is not None:  # a piece that is a token is that token, also if no merges lead there
-                got = (whole,)
+                ids = [whole]
             else:
                 state, ids = self.start, []
                 for b in raw:
@@ -251,7 +255,8 @@ class Transducer:
                     if type(state) is tuple:
                         ids += state[1]
                         state = state[0]
-                got = (*ids, *state.configs[-1])
+                ids += state.configs[-1]
+            got = array("i", ids).tobytes()
             if len(raw) > 64:
                 return got
         if len(self.pieces) >= self.max_pieces:
@@ -266,12 +271,13 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
 
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a whole text as packed 32-bit integers."""
+        known, piece = self.machine.pieces.get, self.machine.piece
+        return b"".join([known(m) or piece(m) for m in self.find(text or "")])
+
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        known, piece = self.machine.pieces, self.machine.piece
-        for m in self.find(text or ""):
-            ids += known.get(m) or piece(m)
-        return ids
+        return list(array("i", self.packed(text)))
 
 
 #: Length of a character by its first byte; 0: not a first byte.
@@ -327,19 +333,15 @@ class Decoder:
         self.chunk = chunk
 
     def stream(self, ids: Iterable[int]) -> Iterator[tuple[bytes, str]]:
-        machine, held = Utf8Machine(), []
-        for i in ids:
-            held.append(i)
-            if len(held) == self.chunk:
-                raw = b"".join(map(self.token.__getitem__, held))
-                held.clear()
-                yield raw, machine.feed(raw)
-        raw = b"".join(map(self.token.__getitem__, held))
-        yield raw, machine.feed(raw) + machine.close()
+        machine, rest = Utf8Machine(), iter(ids)
+        while held := tuple(islice(rest, self.chunk)):
+            raw = b"".join(map(self.token.__getitem__, held))
+            yield raw, machine.feed(raw)
+        yield b"", machine.close()
 
     def decode(self, ids: Iterable[int]) -> tuple[bytes, str]:
         parts = list(self.stream(ids))
-        return b"".join(a for a, _ in parts), "".join(b for _, b in parts)
+        return b"".join([a for a, _ in parts]), "".join([b for _, b in parts])
 
 
 _MADE: dict[tuple, object] = {}
@@ -374,12 +376,13 @@ def _mapped(df: DataFrame, ranks_path: str, columns: list[str], schema: str, wor
     return out.withColumnRenamed("id", columns[0])
 
 
-def _ids(ids: list[list[int]]) -> pa.Array:
-    return pa.array(ids, pa.list_(pa.int32()))
+def _ids(packed: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
 
 
 def _decoded(coder: Decoder, ids: list[list[int] | None]) -> list[pa.Array]:
-    out = [coder.decode(x or ()) for x in ids]
+    out = [coder.decode(() if x is None else x) for x in ids]
     return [pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.string())]
 
 
@@ -388,7 +391,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
         coder = _made(Encoder, raw, pattern)
-        return [_ids([coder.encode(t) for t in texts])]
+        return [_ids([coder.packed(t) for t in texts])]
 
     return _mapped(df, ranks_path, [id_col, text_col], "ids array<int>", work)
 
@@ -403,7 +406,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
         coder = _made(Encoder, raw, pattern)
-        ids = [coder.encode(t) for t in texts]
-        return [_ids(ids), *_decoded(_made(Decoder, raw), ids)]
+        ids = [coder.packed(t) for t in texts]
+        return [_ids(ids), *_decoded(_made(Decoder, raw), [memoryview(x).cast("i") for x in ids])]
 
     return _mapped(df, ranks_path, [id_col, text_col], "ids array<int>, decoded binary, decoded_text string", work)
