@@ -122,7 +122,9 @@ def _generated(kind: str, n: int, rng: np.random.Generator) -> tuple[np.ndarray,
             before = pick("", "the ", "is ")
         if kind == "id":
             hit = f"{d(3)}-{d(2)}-{d(4)}" if y else pick(f"{d(3)} {d(2)} {d(4)}", f"000-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}")
-            y = y and _plausible(hit)
+            if not y and _plausible(hit):
+                before = pick(*bad)
+            y = y and _plausible(hit) and before in good["id"]
         elif kind == "tel":
             hit = pick(f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}") if y else pick(f"{d(3)} {d(3)} {d(4)}", f"{d(2)}/{d(3)}-{d(3)}", f"{d(4)}.{d(3)}.{d(3)}", f"{d(4)} {d(4)} {d(4)}", f"{d(3)}-{d(3)}-{d(4)}")
             y = y and (before in good["tel"] or "(" in hit)
