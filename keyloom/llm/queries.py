@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, lang_id, pii, quality, toxicity
+from keyloom.llm import bpe, decontaminate, lang_id, near_dup, near_vectors, pii, quality, sharding, toxicity
 from keyloom.llm.common import crc_mod, table
 
 
@@ -24,6 +24,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or an edited copy of one, with the item and where."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies, and whether it is the one that stays."""
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the law of near equal bytes."""
+    out = sharding.shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of near vectors and its component."""
+    return near_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document, counted and digested."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -64,6 +85,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_decontamination": op3_decontamination,
+    "op4_near_dup": op4_near_dup,
+    "op5_sharding": op5_sharding,
+    "op6_near_vectors": op6_near_vectors,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
