@@ -118,7 +118,7 @@ def alone(groups: DataFrame, shards: int) -> list[int]:
 
 
 def plan(groups: DataFrame, shards: int, key: str = "key") -> tuple[int, list[int]]:
-    """The smallest capacity, and the first keys of shards 1, 2, ... as far as there are such.
+    """The smallest capacity, and where shards 1, 2, ... start: above the last key of the shard before.
 
     ``groups`` has a row (key, size) for each group.
     """
