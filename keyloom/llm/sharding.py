@@ -151,7 +151,7 @@ def plan(groups: DataFrame, shards: int, key: str = "key") -> tuple[int, list[in
             by_bits.setdefault(int(ranges.bits[i]), []).append((int(ranges.lo[i]), int(ranges.bits[i])))
         for bits, inside in by_bits.items():
             # finer by what keeps the answer within 2**LEVEL_BITS rows
-            finer = min(KEY_BITS, bits + LEVEL_BITS - max(0, (len(inside) - 1).bit_length()))
+            finer = min(KEY_BITS, bits + max(1, LEVEL_BITS - (len(inside) - 1).bit_length()))
             out.append(made(ranges_at(finer, inside), finer))
         return Ranges(*(np.concatenate([x[k] for x in out]) for k in range(5)))
 
