@@ -361,19 +361,23 @@ def _slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def _mapped(df: DataFrame, ranks_path: str, columns: list[str], schema: str, work) -> DataFrame:
-    """``work(ranks file, column of the second name as list)`` gives the arrays that follow the id."""
+def _mapped(df: DataFrame, ranks_path: str, columns: list[str], carry: tuple[str, ...], schema: str, work) -> DataFrame:
+    """``work(ranks file, column of the second name as list)`` gives the arrays that follow.
+
+    ``carry`` names columns of ``df`` that pass unread, between the id and what is made.
+    """
     raw = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kind = df.schema[columns[0]].dataType.simpleString()
-    names = ["id", *(x.split()[0] for x in schema.split(", "))]
+    passed = [columns[0], *carry]
+    kinds = [f"c{i} {df.schema[n].dataType.simpleString()}" for i, n in enumerate(passed)]
+    names = [*(f"c{i}" for i in range(len(passed))), *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), *work(raw.value, part.column(1).to_pylist())], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(raw.value, part.columns[-1].to_pylist())], names=names)
 
-    out = df.select(F.col(columns[0]).alias("id"), F.col(columns[1]).alias("x")).mapInArrow(run, f"id {kind}, {schema}")
-    return out.withColumnRenamed("id", columns[0])
+    out = df.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(passed)), F.col(columns[1]).alias("x")).mapInArrow(run, ", ".join([*kinds, schema]))
+    return out.withColumnsRenamed({f"c{i}": n for i, n in enumerate(passed)})
 
 
 def _ids(packed: list[bytes]) -> pa.Array:
@@ -386,22 +390,22 @@ def _decoded(coder: Decoder, ids: list[list[int] | None]) -> list[pa.Array]:
     return [pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.string())]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, ids array<int>): each whole text encoded, null as empty."""
 
     def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
         coder = _made(Encoder, raw, pattern)
         return [_ids([coder.packed(t) for t in texts])]
 
-    return _mapped(df, ranks_path, [id_col, text_col], "ids array<int>", work)
+    return _mapped(df, ranks_path, [id_col, text_col], carry, "ids array<int>", work)
 
 
-def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, decoded binary, decoded_text string) from token ids; null ids as none."""
-    return _mapped(df, ranks_path, [id_col, ids_col], "decoded binary, decoded_text string", lambda raw, ids: _decoded(_made(Decoder, raw), ids))
+    return _mapped(df, ranks_path, [id_col, ids_col], carry, "decoded binary, decoded_text string", lambda raw, ids: _decoded(_made(Decoder, raw), ids))
 
 
-def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, ids, decoded, decoded_text): both directions in one pass, with one worker a task."""
 
     def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
@@ -409,4 +413,4 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         ids = [coder.packed(t) for t in texts]
         return [_ids(ids), *_decoded(_made(Decoder, raw), [memoryview(x).cast("i") for x in ids])]
 
-    return _mapped(df, ranks_path, [id_col, text_col], "ids array<int>, decoded binary, decoded_text string", work)
+    return _mapped(df, ranks_path, [id_col, text_col], carry, "ids array<int>, decoded binary, decoded_text string", work)

@@ -156,12 +156,14 @@ def trained(precision: float = 0.98, size: int = 900) -> dict[str, tuple[Boosted
     return out
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple = ()) -> DataFrame:
     """(id_col, base, added): arrays of (start, kind, end, hit), each in order of start, then kind.
 
-    Added spans that touch a base span are left to the base span.
+    Added spans that touch a base span are left to the base span. ``carry`` names further columns of
+    ``df``, or gives expressions, to pass on; they follow, after the text if it is kept.
     """
-    out = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    passed = df.select(*carry).columns
+    out = df.select(F.struct(F.col(id_col).alias("id"), *(c.alias(f"c{i}") for i, c in enumerate(F.col(x) if isinstance(x, str) else x for x in carry))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     patterns = {**BASE, **ADDED}
     out = out.select("id", "t", *(F.expr(f"regexp_extract_all(t, {_literal(p)}, 0)").alias(f"h_{k}") for k, p in patterns.items()))
     out = out.select("id", "t", *(F.expr(_spans(k, p, "t", f"h_{k}")).alias(f"s_{k}") for k, p in patterns.items()))
@@ -178,7 +180,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_tex
         free = "NOT exists(base, b -> b.start < s.end AND s.start < b.end)"
         chosen.append(F.expr(f"filter(s_{kind}, s -> {free} AND {passes})"))
     added = F.array_sort(F.concat(*chosen)) if chosen else F.expr(f"CAST(array() AS {SPAN})")
-    return out.select(F.col("id").alias(id_col), *([F.col("t").alias(text_col)] if keep_text else []), "base", added.alias("added"))
+    kept = [F.col("t").alias(text_col)] if keep_text else []
+    return out.select(F.col("id.id").alias(id_col), *kept, *(F.col(f"id.c{i}").alias(n) for i, n in enumerate(passed)), "base", added.alias("added"))
 
 
 def joined(spans: Column) -> Column:

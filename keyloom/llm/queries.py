@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, decontaminate, lang_id, near_dup, near_vectors, pii, quality, sharding, toxicity
+from keyloom.llm import bpe, decontaminate, html_text, lang_id, near_dup, near_vectors, pii, quality, sharding, toxicity
 from keyloom.llm.common import crc_mod, table
 
 
@@ -24,6 +24,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item or an edited copy of one, with the item and where."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -85,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_html_text": op2_html_text,
     "op3_decontamination": op3_decontamination,
     "op4_near_dup": op4_near_dup,
     "op5_sharding": op5_sharding,
