@@ -11,9 +11,11 @@ buckets never make all pairs:
 1. Documents with equal weighted shingles are one class from the start.
 2. In each bucket every class meets the bucket's smallest id only. Of a class's candidates the one
    with the most equal registers is verified on the texts; verified links give components.
-3. Buckets that still hold several components compare what lies outside their largest component
-   with the rest, other components only: no link between classes is lost to the choice in step 2,
-   and a bucket that is one group of copies is done.
+3. While buckets with several components would take many comparisons, they elect other leaders, by
+   a hash, for members of other components. A dense group becomes one component in few rounds.
+4. Then what lies outside a bucket's largest component is compared with the rest, other components
+   only: no link between classes is lost to the choice of leaders, and a bucket that is one group
+   of copies is done.
 
 Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least ``threshold``.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +41,10 @@ SHINGLE, REGISTERS, ROWS = 5, 120, 5
 BANDS = REGISTERS // ROWS
 #: Share of equal registers below which a pair is not verified: 3.6 standard deviations below 0.8.
 SCREEN = 0.67
+#: Rounds of other leaders before the exhaustive step, unless its comparisons are at most so many a class.
+ROUNDS, EXHAUSTIVE = 2, 2
+#: Larger buckets are compared in blocks of so many, by signatures of so many registers.
+BLOCK, LONG = 128, 1024
 
 
 def shingles(words: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +75,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((count / (rest_a / x + rest_b / y + inner)).sum()))
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """ProbMinHash registers (documents x REGISTERS, 32 bits of the winning shingle)."""
-    n, m = len(sets), REGISTERS
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> np.ndarray:
+    """ProbMinHash registers (documents x m, 32 bits of the winning shingle)."""
+    n = len(sets)
     element = np.concatenate([s for s, _ in sets]) if sets else np.zeros(0, np.uint64)
     weight = np.concatenate([w for _, w in sets]) if sets else np.zeros(0)
     doc = np.repeat(np.arange(n), [len(s) for s, _ in sets])
@@ -156,6 +163,74 @@ def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
+def _scored(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs with the number of equal registers, where it passes the screen."""
+    both = pairs.join(sides.withColumnsRenamed({"id": "a", "registers": "ra"}), "a").join(sides.withColumnsRenamed({"id": "b", "registers": "rb"}), "b")
+    return both.select("a", "b", F.expr(_equal_registers("ra", "rb")).alias("same")).where(F.col("same") >= SCREEN * REGISTERS)
+
+
+def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, id, c, most, n, nx) of buckets that hold several components.
+
+    ``most`` is the largest component there, n the bucket's size and nx what lies outside of it.
+    """
+    placed = buckets.select("key", "id").join(parts.withColumnsRenamed({"node": "id"}), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("nx")).where("parts > 1")
+    return placed.join(mixed.drop("parts"), "key")
+
+
+def _small(placed: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components in buckets of at most BLOCK rows that pass the screen."""
+    placed = placed.join(sides, "id")
+    x = placed.where("c <> most").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("registers").alias("ra"))
+    y = placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("most")).alias("outside"), F.col("registers").alias("rb"))
+    cross = x.join(y, (x["key"] == y["key"]) & (x["ca"] != y["cb"]) & (~y["outside"] | (x["a"] < y["b"])) & (F.expr(_equal_registers("ra", "rb")) >= SCREEN * REGISTERS))
+    return cross.select("a", "b")
+
+
+def _large(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The same for larger buckets, in blocks, with longer signatures.
+
+    What lies outside the largest component meets the bucket block by block; a task holds two blocks
+    and returns only pairs that the long signature, four standard deviations wide, does not rule
+    out. Its registers keep 8 bits, so unequal shingles agree in one of 256.
+    """
+    placed = cut(placed)
+    need = placed.select("id").distinct()
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WideHasher()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                got = signatures([shingles(hasher.ids(t)) for t in part.column(1).to_pylist()], LONG).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in got], pa.binary())], names=["id", "long"])
+
+    signed = texts.join(need, "id").select("id", "t").mapInArrow(long, "id long, long binary").dropDuplicates(["id"])
+    rows = placed.join(signed, "id").withColumns({"nxb": F.ceil(F.col("nx") / BLOCK), "nyb": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("id")})
+    base = ["key", "id", "c", (F.col("c") != F.col("most")).alias("outside"), "long"]
+    x = rows.where("c <> most").select(*base, F.lit(0).alias("side"), F.expr("pmod(h, nxb)").alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nyb") - 1)).alias("yb"))
+    y = rows.select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nxb") - 1)).alias("xb"), F.expr("pmod(h, nyb)").alias("yb"))
+    least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / LONG)
+    least = int(LONG * (least + (1 - least) / 256))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        p, q = group[group.side == 0], group[group.side == 1]
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        u, v = (np.frombuffer(b"".join(z["long"]), np.uint8).reshape(len(z), LONG) for z in (p, q))
+        cp, cq, ip, iq, out = p.c.to_numpy(), q.c.to_numpy(), p.id.to_numpy(), q.id.to_numpy(), q.outside.to_numpy()
+        a, b = [], []
+        for i in range(len(p)):
+            near = ((v == u[i]).sum(axis=1) >= least) & (cq != cp[i]) & (~out | (ip[i] < iq))
+            b.append(iq[near])
+            a.append(np.full(int(near.sum()), ip[i]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return x.union(y).groupBy("key", "xb", "yb").applyInPandas(compare, "a long, b long")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, kept): class_id is the smallest id of the class; its document is kept."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
@@ -168,22 +243,28 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     buckets = cut(buckets.join(shared, "key").select("key", "id", "leader"))  # only buckets of two and more
     sides = members.where("registers IS NOT NULL").select("id", "registers")
     pairs = buckets.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    scored = pairs.join(sides.withColumnsRenamed({"id": "a", "registers": "ra"}), "a").join(sides.withColumnsRenamed({"id": "b", "registers": "rb"}), "b")
-    scored = scored.select("a", "b", F.expr(_equal_registers("ra", "rb")).alias("same")).where(F.col("same") >= SCREEN * REGISTERS)
-    best = cut(scored.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
-    first = cut(verify(texts, best, threshold).select("a", "b"))
-    parts = components(first)
-    # buckets that still hold several components
-    placed = buckets.select("key", "id").join(parts.withColumnsRenamed({"node": "id"}), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    placed = cut(placed.join(mixed.select("key", "most"), "key").join(sides, "id").select("key", "id", "c", "most", "registers"))
-    x = placed.where("c <> most").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("registers").alias("ra"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("most")).alias("outside"), F.col("registers").alias("rb"))
-    cross = x.join(y, (x["key"] == y["key"]) & (x["ca"] != y["cb"]) & (~y["outside"] | (x["a"] < y["b"])) & (F.expr(_equal_registers("ra", "rb")) >= SCREEN * REGISTERS))
-    cross = cut(cross.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"))
+    best = cut(_scored(pairs, sides).groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
+    found = cut(verify(texts, best, threshold).select("a", "b"))
+    total = members.count()
+    for turn in range(ROUNDS):
+        parts = components(found)
+        placed = cut(_mixed(buckets, parts))
+        # what comparing everything outside each bucket's largest component would take
+        work = placed.agg(F.sum(F.when(F.col("c") != F.col("most"), F.col("n")))).first()[0] or 0
+        if work <= EXHAUSTIVE * total:
+            break
+        leaders = placed.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.c").alias("cb"))
+        tried = _scored(placed.join(leaders, "key").where("c <> cb").select(F.col("id").alias("a"), "b").distinct(), sides)
+        tried = cut(tried.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
+        new = cut(verify(texts, tried, threshold).select("a", "b"))
+        if new.isEmpty():
+            break
+        found = cut(found.union(new))
+    placed = cut(_mixed(buckets, components(found)))
+    cross = _small(placed.where(F.col("n") <= BLOCK), sides).union(_large(placed.where(F.col("n") > BLOCK), texts, threshold))
+    cross = cut(cross.distinct().join(best, ["a", "b"], "left_anti"))
     second = verify(texts, cross, threshold).select("a", "b")
-    parts = components(first.union(second))
+    parts = components(found.union(second))
     named = members.select("fp", "id").join(parts.withColumnsRenamed({"node": "id"}), "id", "left").select("fp", F.coalesce("component", "id").alias("class_id"))
     out = sketch.select("id", "fp").join(named, "fp").select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
     rest = rows.where(F.col("id").isNull() | F.col("t").isNull()).select("id", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
