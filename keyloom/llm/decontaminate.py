@@ -1,12 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1. The benchmark's word n-grams are the possible seeds. One pass over the documents counts in how
-   many of them each occurs. Every item keeps its rarest seeds: the ``share`` of its n-grams with
-   the lowest counts, ``least`` at least. Rarity is relative to the item, so an item that leaked
-   into thousands of documents keeps seeds too.
+   many of them each occurs. Rare n-grams, in at most ``rare`` of all documents, stay seeds. Every
+   item also keeps the ``share`` of its n-grams that are rarest, so an item that leaked into
+   thousands of documents keeps seeds too. N-grams in no document are no seeds.
 2. A second pass looks the seeds up in every document. Hits whose diagonals (position in the
-   document less position in the item) lie near each other give a window, and the item is aligned
-   with the window by Smith-Waterman over words: match +1, mismatch and gap -0.5. The best score
+   document less position in the item) lie near each other give a window if they are two different
+   seeds, or all that the item has. The item is aligned with the window by Smith-Waterman over words: match +1, mismatch and gap -0.5. The best score
    divided by the item's length is the similarity; from ``threshold`` on the document is reported.
 
 Neither pass shuffles documents: counts are at most one row a seed and task. The benchmark's size is
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.tokens import WideHasher, ngrams
+from keyloom.llm.tokens import WideHasher, quick_ngrams
 
 
 @dataclass
@@ -41,6 +41,13 @@ class Benchmark:
     item: np.ndarray
     at: np.ndarray
 
+    def __post_init__(self) -> None:
+        """Seeds of each item, and a bit for the leading bits of each seed: most n-grams of a text are ruled out by it."""
+        self.shift = np.uint64(64 - max(16, min(27, 5 + len(self.seeds).bit_length())))
+        self.some = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.own = np.bincount(self.item, minlength=len(self.ids))
+        self.some[(self.seeds >> self.shift).astype(np.int64)] = True
+
 
 def block_of(rows: list[tuple[object, str | None]], n: int, hasher: WideHasher) -> Benchmark:
     ids, words, grams, item, at = [], [], [], [], []
@@ -48,7 +55,7 @@ def block_of(rows: list[tuple[object, str | None]], n: int, hasher: WideHasher)
         w = hasher.ids(text)
         if not len(w):
             continue
-        g = ngrams(w, n)
+        g = quick_ngrams(w, n)
         grams.append(g)
         item.append(np.full(len(g), len(ids)))
         at.append(np.arange(len(g)))
@@ -63,17 +70,18 @@ def block_of(rows: list[tuple[object, str | None]], n: int, hasher: WideHasher)
     return Benchmark(ids, words, seeds, np.append(first, len(g)), item_[order], at_[order])
 
 
-def rarest(b: Benchmark, counts: np.ndarray, share: float, least: int) -> Benchmark:
-    """The same items with each item's rarest seeds only; ties keep all seeds of that count."""
+def rarest(b: Benchmark, counts: np.ndarray, documents: int, rare: float, share: float) -> Benchmark:
+    """The same items with rare seeds only; ties keep all seeds of that count."""
     per_entry = np.repeat(counts, np.diff(b.first))
     seed_of = np.repeat(np.arange(len(b.seeds)), np.diff(b.first))
-    keep = np.zeros(len(per_entry), dtype=bool)
-    order = np.lexsort((per_entry, b.item))
+    keep = (per_entry > 0) & (per_entry <= max(20, rare * documents))
+    there = np.nonzero(per_entry)[0]
+    order = there[np.lexsort((per_entry[there], b.item[there]))]
     starts = np.searchsorted(b.item[order], np.arange(len(b.ids) + 1))
     for i in range(len(b.ids)):
         own = order[starts[i] : starts[i + 1]]
-        k = min(len(own), max(least, int(np.ceil(share * len(own)))))
-        keep[own[per_entry[own] <= per_entry[own[k - 1]]]] = True
+        if len(own):
+            keep[own[per_entry[own] <= per_entry[own[int(np.ceil(share * len(own))) - 1]]]] = True
     seed_of, item, at = seed_of[keep], b.item[keep], b.at[keep]
     used, first = np.unique(seed_of, return_index=True)
     return Benchmark(b.ids, b.words, b.seeds[used], np.append(first, len(seed_of)), item, at)
@@ -83,9 +91,11 @@ def lookup(b: Benchmark, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``grams`` that are seeds, and which."""
     if not len(b.seeds) or not len(grams):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i = np.minimum(np.searchsorted(b.seeds, grams), len(b.seeds) - 1)
-    at = np.nonzero(b.seeds[i] == grams)[0]
-    return at, i[at]
+    at = np.nonzero(b.some[(grams >> b.shift).astype(np.int64)])[0]
+    own = grams[at]
+    i = np.minimum(np.searchsorted(b.seeds, own), len(b.seeds) - 1)
+    hit = b.seeds[i] == own
+    return at[hit], i[hit]
 
 
 def align(item: np.ndarray, doc: np.ndarray, match: float = 1.0, mismatch: float = -0.5, gap: float = -0.5) -> tuple[float, int, int]:
@@ -126,12 +136,14 @@ def matches(b: Benchmark, words: np.ndarray, grams: np.ndarray, threshold: float
     entry = np.repeat(b.first[seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     item, diagonal = b.item[entry], np.repeat(at, n) - b.at[entry]
     order = np.lexsort((diagonal, item))
-    item, diagonal = item[order], diagonal[order]
+    item, diagonal, which = item[order], diagonal[order], np.repeat(seed, n)[order]
     size = np.array([len(w) for w in b.words])[item]
     cuts = np.nonzero((item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 2 + 4))[0] + 1
     best: dict[int, tuple[float, int, int]] = {}
     for lo, hi in zip([0, *cuts], [*cuts, len(item)]):
         i, length = int(item[lo]), int(size[lo])
+        if b.own[i] > 1 and (which[lo:hi] == which[lo]).all():
+            continue
         pad = length // 3 + 4
         start = max(0, int(diagonal[lo]) - pad)
         window = words[start : int(diagonal[hi - 1]) + length + pad]
@@ -156,7 +168,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> I
         yield held
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, share: float = 0.4, least: int = 8, threshold: float = 0.5, block_words: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 0.0005, share: float = 0.5, threshold: float = 0.5, block_words: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start, end): items found in documents, positions in words."""
     spark = docs.sparkSession
     kinds = [docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
@@ -169,25 +181,27 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, share: float = 0.4,
 
         def count(batches: Iterator[pa.RecordBatch], possible=possible) -> Iterator[pa.RecordBatch]:
             b, hasher = possible.value, WideHasher()
-            total = np.zeros(len(b.seeds), dtype=np.int64)
+            total = np.zeros(len(b.seeds) + 1, dtype=np.int64)  # the last counts documents
             for batch in batches:
+                total[-1] += batch.num_rows
                 for t in batch.column(0).to_pylist():
-                    total[np.unique(lookup(b, ngrams(hasher.ids(t), n))[1])] += 1
+                    total[np.unique(lookup(b, quick_ngrams(hasher.ids(t), n))[1])] += 1
             found = np.nonzero(total)[0]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["s", "n"])
 
-        counts = np.zeros(len(block.seeds), dtype=np.int64)
+        counts = np.zeros(len(block.seeds) + 1, dtype=np.int64)
         for r in texts.select("t").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
             counts[r["s"]] = r["n"]
-        rare = spark.sparkContext.broadcast(rarest(block, counts, share, least))
+        documents, counts = int(counts[-1]), counts[:-1]
+        kept = spark.sparkContext.broadcast(rarest(block, counts, documents, rare, share))
 
-        def scan(batches: Iterator[pa.RecordBatch], rare=rare) -> Iterator[pa.RecordBatch]:
-            b, hasher = rare.value, WideHasher()
+        def scan(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
+            b, hasher = kept.value, WideHasher()
             for batch in batches:
                 ids, found = [], []
                 for k, t in enumerate(batch.column(1).to_pylist()):
                     words = hasher.ids(t)
-                    for hit in matches(b, words, ngrams(words, n), threshold):
+                    for hit in matches(b, words, quick_ngrams(words, n), threshold):
                         ids.append(k)
                         found.append(hit)
                 yield pa.RecordBatch.from_arrays(
