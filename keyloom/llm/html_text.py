@@ -13,7 +13,7 @@ Script, style, template and the like are never text. Character references are de
 block becomes one blank, blocks are joined in page order by one blank. Nothing else is dropped.
 
 Defined results: null and empty pages have empty text. Text outside any element is a block of the
-root. Markup that is cut off is read as far as it goes. An empty table gives an empty result.
+root; a text without any markup is content. Markup that is cut off is read as far as it goes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,7 +55,8 @@ WORDS = {
 OF_WORD = {w: k for k, line in enumerate(WORDS.values()) for w in line.split()}
 TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "td", "blockquote", "pre", "button", "label", "figure", "figcaption", "dialog", "menu", "address", "body", "#text"]
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
-N_FEATURES = 2 * len(TAGS) + len(WORDS) + 10
+APART = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
+N_FEATURES = 2 * len(TAGS) + len(WORDS) + 10 + len(WORDS) + 1
 
 
 @dataclass
@@ -189,8 +190,15 @@ def features(nodes: list[Node]) -> np.ndarray:
     x = np.zeros((len(nodes), N_FEATURES), dtype=np.float32)
     k = len(TAGS)
     total = max(1, nodes[0].chars)
+    above = 2 * k + len(WORDS) + 10  # words of the node and all elements around it, and whether one of them stands apart
     for i, n in enumerate(nodes):
         row = x[i]
+        if n.parent >= 0:
+            row[above:] = x[n.parent, above:]
+        for w in n.words:
+            row[above + w] = 1
+        if n.tag in APART:
+            row[-1] = 1
         j = TAG_AT.get(n.tag)
         if j is not None:
             row[j] = 1
@@ -304,7 +312,7 @@ def _labelled_page(rng: np.random.Generator) -> str:
             out.append(part.replace("</TAG>", "</section>" if part.startswith("<section") else "</div>"))
         return "".join(out)
 
-    holder = pick("<article", "<article", "<article class='post'", "<main", "<div class='content'", "<div id='main-content'", "<div class='article-body'", "<section class='entry'", "<div class='story'", "<main><article")
+    holder = pick("<article", "<article", "<article class='post'", "<main", "<div class='content'", "<div id='main-content'", "<div class='article-body'", "<section class='entry'", "<div class='story'", "<div", "<main><article")
     end = {"<art": "</article>", "<mai": "</main>", "<div": "</div>", "<sec": "</section>"}[holder[:4]] if holder != "<main><article" else "</article></main>"
     page = some(int(rng.integers(1, 4)), 0, 1, 2, 3, 6) + f"{holder}{mark(1)}>{content()}{maybe(0.2, some(1, 7, 9, 8))}{end}" + some(int(rng.integers(0, 4)), 4, 5, 7, 8, 9, 3) + some(1, 10)
     if rng.random() < 0.25:
@@ -312,15 +320,19 @@ def _labelled_page(rng: np.random.Generator) -> str:
     return f"<html><head><title>{words(3)}</title></head><body>{page}</body></html>"
 
 
-def _labels(page: str, nodes: list[Node], marks: list[int]) -> np.ndarray:
-    y = np.zeros(len(nodes), dtype=np.int64)
+def _labels(nodes: list[Node], marks: list[int]) -> np.ndarray:
+    """Marks pass down; an unmarked node above them has the label of most of its text."""
+    y = np.full(len(nodes), -1)
     for i, n in enumerate(nodes):
-        y[i] = marks[i] if marks[i] >= 0 else (y[n.parent] if n.parent >= 0 else 0)
-    return y
+        y[i] = marks[i] if marks[i] >= 0 else (y[n.parent] if n.parent >= 0 else -1)
+    good = np.array([n.chars if n.tag == "#text" and y[i] == 1 else 0 for i, n in enumerate(nodes)])
+    for i in range(len(nodes) - 1, 0, -1):
+        good[nodes[i].parent] += good[i]
+    return np.array([k if k >= 0 else int(2 * good[i] >= max(1, nodes[i].chars)) for i, k in enumerate(y)])
 
 
 @cache
-def trained(pages: int = 300, steps: int = 200, seed: int = 3) -> TreeModel:
+def trained(pages: int = 250, steps: int = 150, seed: int = 3) -> TreeModel:
     """Fitted on ``pages`` generated pages, once in a process."""
     rng = np.random.default_rng(seed)
     xs, ys, pairs = [], [], np.ones((2, 2))
@@ -332,11 +344,11 @@ def trained(pages: int = 300, steps: int = 200, seed: int = 3) -> TreeModel:
         nodes = parse(page)
         it = iter(found)
         marks = [-1 if n.tag in ("#root", "#text") else next(it) for n in nodes]
-        y = _labels(page, nodes, marks)
+        y = _labels(nodes, marks)
         xs.append(features(nodes))
         ys.append(y)
         for i, n in enumerate(nodes):
-            if n.parent > 0:
+            if n.parent >= 0:
                 pairs[y[n.parent], y[i]] += 1
     x, y = np.concatenate(xs).astype(np.float64), np.concatenate(ys)
     w, m, v = np.zeros(x.shape[1]), 0.0, 0.0
@@ -354,6 +366,8 @@ def main_text(page: str | None, model: TreeModel) -> str:
     nodes = parse(page)
     if len(nodes) == 1:
         return ""
+    if all(n.tag == "#text" for n in nodes[1:]):  # no markup, nothing that could set text apart
+        return " ".join(n.text for n in nodes[1:])
     p = model.marginals(nodes)
     return " ".join(n.text for i, n in enumerate(nodes) if n.text and not nodes[n.parent].hidden and p[i] >= 0.5)
 

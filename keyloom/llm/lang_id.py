@@ -124,8 +124,10 @@ class CrossParser:
         tables = [suffix_automaton(s) for s in model.samples]
         starts = np.cumsum([0] + [len(t) for t in tables])
         self.root = starts[:-1].astype(np.int32)
-        # one table for all languages; a missing transition is -1
-        self.next = np.concatenate([np.where(t >= 0, t + s, -1).astype(np.int32) for t, s in zip(tables, starts)]) if tables else np.zeros((0, SYMBOLS), np.int32)
+        # one table for all languages; a missing transition is -1, and the last state has none: there a phrase starts
+        none = np.full((1, SYMBOLS), -1, dtype=np.int32)
+        self.next = np.concatenate([*(np.where(t >= 0, t + s, -1).astype(np.int32) for t, s in zip(tables, starts)), none])
+        self.new = len(self.next) - 1
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) by language (columns)."""
@@ -143,8 +145,8 @@ class CrossParser:
             for j, i in enumerate(own):
                 grid[: len(pieces[i]), j] = pieces[i]
             active = np.searchsorted(-lengths, -np.arange(size), side="left")  # pieces longer than the step's index
-            count = np.ones((k, len(own)), dtype=np.int32)
-            state = np.repeat(self.root[:, None], len(own), axis=1)
+            count = np.zeros((k, len(own)), dtype=np.int32)
+            state = np.full((k, len(own)), self.new, dtype=np.int32)
             base = self.root[:, None].astype(np.int64) * SYMBOLS
             for step in range(int(lengths[0])):
                 m = active[step]
@@ -155,7 +157,7 @@ class CrossParser:
                 if miss.any():
                     count[:, :m] += miss
                     again = flat.take((base + c)[miss])
-                    got[miss] = np.where(again < 0, np.broadcast_to(self.root[:, None], miss.shape)[miss], again)
+                    got[miss] = np.where(again < 0, self.new, again)
                 state[:, :m] = got
             np.add.at(total, owner[own], count.T)
         return total
