@@ -29,9 +29,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies."""
+    """Keep one document of each class of near copies, and one of repeated rows; rows without an id stay.
+
+    The join deals texts by doc_id already, so that repeated rows meet without another shuffle.
+    """
     kept = near_dup.classes(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS).union(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.select(COLUMNS).union(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
