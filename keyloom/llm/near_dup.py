@@ -11,11 +11,9 @@ buckets never make all pairs:
 1. Documents with equal weighted shingles are one class from the start.
 2. In each bucket every class meets the bucket's smallest id only. Of a class's candidates the one
    with the most equal registers is verified on the texts; verified links give components.
-3. While buckets with several components would take many comparisons, they elect other leaders, by
-   a hash, for members of other components. A dense group becomes one component in few rounds.
-4. Then what lies outside a bucket's largest component is compared with the rest, other components
-   only: no link between classes is lost to the choice of leaders, and a bucket that is one group
-   of copies is done.
+3. In buckets that still hold several components, what lies outside the largest is compared with
+   the rest, other components only: no link between classes is lost to the choice of leaders, and a
+   bucket that is one group of copies is done. Large buckets do so in blocks, by long signatures.
 
 Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least ``threshold``.
 
@@ -41,10 +39,10 @@ SHINGLE, REGISTERS, ROWS = 5, 120, 5
 BANDS = REGISTERS // ROWS
 #: Share of equal registers below which a pair is not verified: 3.6 standard deviations below 0.8.
 SCREEN = 0.67
-#: Rounds of other leaders before the exhaustive step, unless its comparisons are at most so many a class.
-ROUNDS, EXHAUSTIVE = 2, 2
 #: Larger buckets are compared in blocks of so many, by signatures of so many registers.
 BLOCK, LONG = 128, 1024
+#: Up to so many ids, 8 bytes each, are sent to the texts; beyond, texts and ids are dealt out by id.
+SENT_IDS = 1_000_000
 
 
 def shingles(words: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +132,12 @@ def _equal_registers(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> IF(x = y, 1, 0)), 0, (s, e) -> s + e)"
 
 
+def _texts_of(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """(id, t) of the distinct ids in ``need``; few ids spare the texts a shuffle."""
+    few = need.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return texts.join(F.broadcast(need) if few else need, "id").select("id", "t")
+
+
 def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of ids whose texts (id, t) are similar enough, with their similarity.
 
@@ -141,7 +145,7 @@ def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     the large side of that join can be split.
     """
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    held = texts.join(need, "id")
+    held = _texts_of(texts, need)
     left = pairs.join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -207,7 +211,7 @@ def _large(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 got = signatures([shingles(hasher.ids(t)) for t in part.column(1).to_pylist()], LONG).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in got], pa.binary())], names=["id", "long"])
 
-    signed = texts.join(need, "id").select("id", "t").mapInArrow(long, "id long, long binary").dropDuplicates(["id"])
+    signed = _texts_of(texts, need).mapInArrow(long, "id long, long binary").dropDuplicates(["id"])
     rows = placed.join(signed, "id").withColumns({"nxb": F.ceil(F.col("nx") / BLOCK), "nyb": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("id")})
     base = ["key", "id", "c", (F.col("c") != F.col("most")).alias("outside"), "long"]
     x = rows.where("c <> most").select(*base, F.lit(0).alias("side"), F.expr("pmod(h, nxb)").alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nyb") - 1)).alias("yb"))
@@ -245,21 +249,6 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     pairs = buckets.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     best = cut(_scored(pairs, sides).groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
     found = cut(verify(texts, best, threshold).select("a", "b"))
-    total = members.count()
-    for turn in range(ROUNDS):
-        parts = components(found)
-        placed = cut(_mixed(buckets, parts))
-        # what comparing everything outside each bucket's largest component would take
-        work = placed.agg(F.sum(F.when(F.col("c") != F.col("most"), F.col("n")))).first()[0] or 0
-        if work <= EXHAUSTIVE * total:
-            break
-        leaders = placed.groupBy("key").agg(F.min_by(F.struct("id", "c"), F.xxhash64("id", F.lit(turn))).alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.c").alias("cb"))
-        tried = _scored(placed.join(leaders, "key").where("c <> cb").select(F.col("id").alias("a"), "b").distinct(), sides)
-        tried = cut(tried.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
-        new = cut(verify(texts, tried, threshold).select("a", "b"))
-        if new.isEmpty():
-            break
-        found = cut(found.union(new))
     placed = cut(_mixed(buckets, components(found)))
     cross = _small(placed.where(F.col("n") <= BLOCK), sides).union(_large(placed.where(F.col("n") > BLOCK), texts, threshold))
     cross = cut(cross.distinct().join(best, ["a", "b"], "left_anti"))
