@@ -138,31 +138,39 @@ def _texts_of(texts: DataFrame, need: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(need) if few else need, "id").select("id", "t")
 
 
+def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """(id, s, n): distinct shingles and how often they occur, packed; repetitive texts become short."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WideHasher()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                got = [np.unique(ngrams(hasher.ids(t), SHINGLE), return_counts=True) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())], names=["id", "s", "n"])
+
+    return _texts_of(texts, need).mapInArrow(run, "id long, s binary, n binary")
+
+
 def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of ids whose texts (id, t) are similar enough, with their similarity.
 
-    Only texts that are asked for are moved. The id that many pairs may share is joined last, so
-    the large side of that join can be split.
+    Only texts that are asked for are moved, as shingle sets. The id that many pairs may share is
+    joined last, so the large side of that join can be split.
     """
     need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    held = _texts_of(texts, need)
-    left = pairs.join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    both = left.join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    held = cut(_sets_of(texts, need))
+    left = pairs.join(held.toDF("a", "sa", "na"), "a")
+    both = left.join(held.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "na", "sb", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = WideHasher(), {}
-
-        def of(i: int, text: str) -> tuple:
-            if (i, len(text)) not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[(i, len(text))] = shingles(hasher.ids(text))
-            return known[(i, len(text))]
-
+        of = lambda s, n: (np.frombuffer(s, np.uint64), 1 + np.log2(np.frombuffer(n, np.uint32)))
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            s = [similarity(shingles(hasher.ids(y)), of(x, z)) for y, x, z in zip(ta, b, tb)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                sets = zip(*(part.column(i).to_pylist() for i in range(2, 6)))
+                s = [similarity(of(sa, na), of(sb, nb)) for sa, na, sb, nb in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
     return both.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
