@@ -112,6 +112,7 @@ class QualityModel:
     w2: np.ndarray | None = None
     b2: float = 0.0
     temperature: float = 1.0
+    shift: float = 0.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         if self.w1 is None:
@@ -119,7 +120,7 @@ class QualityModel:
         return np.tanh(((x - self.centre) / self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature + self.shift, -30, 30)))
 
 
 def fit(model: QualityModel, x: np.ndarray, y: np.ndarray, epochs: int = 150, rate: float = 0.01, batch: int = 64, decay: float = 1e-3, seed: int = 5) -> None:
@@ -145,14 +146,21 @@ def fit(model: QualityModel, x: np.ndarray, y: np.ndarray, epochs: int = 150, ra
     model.w1, model.b1, model.w2, model.b2 = p[0], p[1], p[2], float(p[3][0])
 
 
-def fit_temperature(z: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the least logistic loss on held-back labels, on a fine grid."""
-    grid = np.geomspace(0.2, 20, 120)
-    loss = [np.mean(np.logaddexp(0, np.where(y == 1, -z, z) / t)) for t in grid]
-    return float(grid[int(np.argmin(loss))])
+def fit_temperature(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Temperature and shift with the least weighted logistic loss on held-back labels, on a fine grid.
+
+    Weights give the kinds of labels the shares they have among all labelled texts; the shift moves
+    probabilities from the balanced sample to those shares.
+    """
+    best = (np.inf, 1.0, 0.0)
+    for t in np.geomspace(0.2, 20, 60):
+        for b in np.linspace(-4, 4, 81):
+            loss = float(np.average(np.logaddexp(0, np.where(y == 1, -1, 1) * (z / t + b)), weights=weight))
+            best = min(best, (loss, float(t), float(b)))
+    return best[1], best[2]
 
 
-def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int = 1_500, max_chars: int = 20_000, text: str = "text") -> QualityModel:
+def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int = 2_500, max_chars: int = 20_000, text: str = "text") -> QualityModel:
     """Word vectors from all of ``docs``; the network from at most ``per_label`` labelled texts of each kind."""
     model, h = QualityModel(word_vectors(docs, text)), hasher()
     found: dict[int, list[np.ndarray]] = {0: [], 1: []}
@@ -166,7 +174,10 @@ def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int =
         return model
     fit(model, np.array([a for a, _ in part], dtype=np.float64), y)
     if rest:
-        model.temperature = fit_temperature(model.logits(np.array([a for a, _ in rest], dtype=np.float64)), np.array([b for _, b in rest]))
+        z, y = model.logits(np.array([a for a, _ in rest], dtype=np.float64)), np.array([b for _, b in rest])
+        total = {r["y"]: r["n"] for r in labelled.groupBy(label.alias("y")).agg(F.count("*").alias("n")).collect()}
+        weight = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
+        model.temperature, model.shift = fit_temperature(z, y, weight)
     return model
 
 
