@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import held, tidy
+
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -63,7 +65,7 @@ class Transducer:
 
     FEW = 24
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 350_000, max_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000, max_pieces: int = 150_000):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -97,10 +99,10 @@ class Transducer:
                 node = self.child[node << 8 | b]
                 if first < self.low[node]:
                     self.low[node] = first
-                held = self.few[node]
-                if held is not None:
-                    if len(held) < self.FEW:
-                        held.append(i)
+                few = self.few[node]
+                if few is not None:
+                    if len(few) < self.FEW:
+                        few.append(i)
                     else:
                         self.few[node] = None
         self._reset()
@@ -179,7 +181,7 @@ class Transducer:
         key = last << 32 | node
         ok = self._live.get(key)
         if ok is None:
-            if len(self._live) > 400_000:
+            if len(self._live) > 250_000:
                 self._live.clear()
             if last < 0:
                 ok = self.low[node] < 1 << 60
@@ -334,8 +336,8 @@ class Decoder:
 
     def stream(self, ids: Iterable[int]) -> Iterator[tuple[bytes, str]]:
         machine, rest = Utf8Machine(), iter(ids)
-        while held := tuple(islice(rest, self.chunk)):
-            raw = b"".join(map(self.token.__getitem__, held))
+        while part := tuple(islice(rest, self.chunk)):
+            raw = b"".join(map(self.token.__getitem__, part))
             yield raw, machine.feed(raw)
         yield b"", machine.close()
 
@@ -344,15 +346,14 @@ class Decoder:
         return b"".join([a for a, _ in parts]), "".join([b for _, b in parts])
 
 
-_MADE: dict[tuple, object] = {}
+def _machines(raw: bytes, pattern: str) -> tuple[Encoder, Decoder]:
+    """One pair for each Python worker and vocabulary: workers are used again, so are the tables."""
 
+    def make() -> tuple[Encoder, Decoder]:
+        ranks = parse_ranks(raw)
+        return Encoder(ranks, pattern), Decoder(ranks)
 
-def _made(kind: type, raw: bytes, *args):
-    """One machine per Python worker and vocabulary: workers are used again, so are the tables."""
-    key = (kind, hash(raw), *args)
-    if key not in _MADE:
-        _MADE[key] = kind(parse_ranks(raw), *args)
-    return _MADE[key]
+    return held(("bpe", hash(raw), pattern), make)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
@@ -375,6 +376,7 @@ def _mapped(df: DataFrame, ranks_path: str, columns: list[str], carry: tuple[str
         for batch in batches:
             for part in _slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(raw.value, part.columns[-1].to_pylist())], names=names)
+        tidy()
 
     out = df.select(*(F.col(n).alias(f"c{i}") for i, n in enumerate(passed)), F.col(columns[1]).alias("x")).mapInArrow(run, ", ".join([*kinds, schema]))
     return out.withColumnsRenamed({f"c{i}": n for i, n in enumerate(passed)})
@@ -394,7 +396,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """(id_col, ids array<int>): each whole text encoded, null as empty."""
 
     def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
-        coder = _made(Encoder, raw, pattern)
+        coder, _ = _machines(raw, pattern)
         return [_ids([coder.packed(t) for t in texts])]
 
     return _mapped(df, ranks_path, [id_col, text_col], carry, "ids array<int>", work)
@@ -402,15 +404,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, decoded binary, decoded_text string) from token ids; null ids as none."""
-    return _mapped(df, ranks_path, [id_col, ids_col], carry, "decoded binary, decoded_text string", lambda raw, ids: _decoded(_made(Decoder, raw), ids))
+    return _mapped(df, ranks_path, [id_col, ids_col], carry, "decoded binary, decoded_text string", lambda raw, ids: _decoded(held(("ids", hash(raw)), lambda: Decoder(parse_ranks(raw))), ids))
 
 
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, ids, decoded, decoded_text): both directions in one pass, with one worker a task."""
 
     def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
-        coder = _made(Encoder, raw, pattern)
+        coder, back = _machines(raw, pattern)
         ids = [coder.packed(t) for t in texts]
-        return [_ids(ids), *_decoded(_made(Decoder, raw), [memoryview(x).cast("i") for x in ids])]
+        return [_ids(ids), *_decoded(back, [memoryview(x).cast("i") for x in ids])]
 
     return _mapped(df, ranks_path, [id_col, text_col], carry, "ids array<int>, decoded binary, decoded_text string", work)

@@ -3,13 +3,34 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """Large tables of a Python worker: the last ones stay for its next task, others are let go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the system: workers outlive tasks."""
+    import contextlib
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,33 +50,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_columns(
-    df: DataFrame,
-    schema: str,
-    make: Callable[[], Callable[[dict[str, list]], dict[str, object]]],
-) -> DataFrame:
-    """Arrow batches in, Arrow batches out.
-
-    ``make`` runs once per task and returns a function from a batch's columns, as lists, to the
-    output's columns, as lists or Arrow arrays in the order of ``schema``.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kinds = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = work({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
-            arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(out.values(), kinds)]
-            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, kinds)], schema=kinds)
-
-    return df.mapInArrow(run, schema)
-
-
 def labelled_sample(rows: DataFrame, label: Column, per_label: int, max_chars: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[object, str]]:
     """At most ``per_label`` (label, text) rows for each label value, chosen by a hash of the text.
 

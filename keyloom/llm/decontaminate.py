@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import tidy
 from keyloom.llm.tokens import WideHasher, quick_ngrams
 
 
@@ -208,6 +209,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 0.0005
                     [batch.column(0).take(pa.array(ids, pa.int64())), pa.array([b.ids[x[0]] for x in found], schema_i), *(pa.array([x[j] for x in found], kind) for j, kind in ((1, pa.float64()), (2, pa.int32()), (3, pa.int32())))],
                     names=["d", "i", "similarity", "start", "end"],
                 )
+            tidy()
 
         from pyspark.sql.pandas.types import to_arrow_type
 

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import labelled_sample
+from keyloom.llm.common import held, labelled_sample, tidy
 
-SYMBOLS = 64
+SYMBOLS = 48
 OTHER = SYMBOLS - 1
 
 
@@ -98,7 +98,7 @@ def suffix_automaton(symbols: bytes) -> np.ndarray:
     return table
 
 
-def train(rows: DataFrame, per_language: int = 40, max_chars: int = 8_000, sample_symbols: int = 40_000, lang: str = "lang", text: str = "text") -> LanguageModel:
+def train(rows: DataFrame, per_language: int = 40, max_chars: int = 8_000, sample_symbols: int = 30_000, lang: str = "lang", text: str = "text") -> LanguageModel:
     """From at most ``per_language`` labelled texts of each language, ``sample_symbols`` in all."""
     found: dict[str, list[str]] = {}
     for name, t in labelled_sample(rows, F.col(lang), per_language, max_chars, text=text):
@@ -176,9 +176,6 @@ class CrossParser:
         return names, scores
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``df`` with the predicted language and its score, from the whole text alone.
 
@@ -192,14 +189,12 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        key = hash(found)
-        if key not in _PARSERS:
-            _PARSERS.clear()
-            _PARSERS[key] = CrossParser(found)
+        parser = held(("languages", hash(found)), lambda: CrossParser(found))
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                langs, scores = _PARSERS[key].predict(part.column(at).to_pylist())
+                langs, scores = parser.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(len(names))), "l", "s"])
+        tidy()
 
     return kept.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema).toDF(*names, lang_out, score_out)

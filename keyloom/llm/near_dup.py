@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut
+from keyloom.llm.common import cut, tidy
 from keyloom.llm.components import components
 from keyloom.llm.tokens import WideHasher, mix, ngrams
 
@@ -112,7 +112,7 @@ def _sketch(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hasher = WideHasher()
+        hasher = WideHasher(limit=100_000)
         for batch in batches:
             for start in range(0, batch.num_rows, 400):
                 part = batch.slice(start, 400)
@@ -124,6 +124,7 @@ def _sketch(df: DataFrame) -> DataFrame:
                 keys = band_keys(registers)
                 lists = lambda x, kind: pa.array([r if f else None for r, f in zip(x, full)], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.string()), lists(registers.view(np.int32), pa.int32()), lists(keys, pa.int64())], names=["id", "fp", "registers", "bands"])
+        tidy()
 
     return df.mapInArrow(run, "id long, fp string, registers array<int>, bands array<long>")
 
@@ -142,12 +143,13 @@ def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
     """(id, s, n): distinct shingles and how often they occur, packed; repetitive texts become short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WideHasher()
+        hasher = WideHasher(limit=100_000)
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 got = [np.unique(ngrams(hasher.ids(t), SHINGLE), return_counts=True) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())], names=["id", "s", "n"])
+        tidy()
 
     return _texts_of(texts, need).mapInArrow(run, "id long, s binary, n binary")
 
@@ -171,6 +173,7 @@ def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 sets = zip(*(part.column(i).to_pylist() for i in range(2, 6)))
                 s = [similarity(of(sa, na), of(sb, nb)) for sa, na, sb, nb in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+        tidy()
 
     return both.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
@@ -212,12 +215,13 @@ def _large(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     need = placed.select("id").distinct()
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WideHasher()
+        hasher = WideHasher(limit=100_000)
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
                 got = signatures([shingles(hasher.ids(t)) for t in part.column(1).to_pylist()], LONG).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in got], pa.binary())], names=["id", "long"])
+        tidy()
 
     signed = _texts_of(texts, need).mapInArrow(long, "id long, long binary").dropDuplicates(["id"])
     rows = placed.join(signed, "id").withColumns({"nxb": F.ceil(F.col("nx") / BLOCK), "nyb": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("id")})
