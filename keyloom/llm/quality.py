@@ -160,8 +160,11 @@ def fit_temperature(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[f
     return best[1], best[2]
 
 
-def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int = 2_500, max_chars: int = 20_000, text: str = "text") -> QualityModel:
-    """Word vectors from all of ``docs``; the network from at most ``per_label`` labelled texts of each kind."""
+def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int = 2_500, max_chars: int = 20_000, text: str = "text", counts: dict[int, int] | None = None) -> QualityModel:
+    """Word vectors from all of ``docs``; the network from at most ``per_label`` labelled texts of each kind.
+
+    ``counts``: labels of each kind in all, if ``labelled`` is a sample already.
+    """
     model, h = QualityModel(word_vectors(docs, text)), hasher()
     found: dict[int, list[np.ndarray]] = {0: [], 1: []}
     for y, t in labelled_sample(labelled, label, per_label, max_chars, text=text):
@@ -175,7 +178,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int =
     fit(model, np.array([a for a, _ in part], dtype=np.float64), y)
     if rest:
         z, y = model.logits(np.array([a for a, _ in rest], dtype=np.float64)), np.array([b for _, b in rest])
-        total = {r["y"]: r["n"] for r in labelled.groupBy(label.alias("y")).agg(F.count("*").alias("n")).collect()}
+        total = counts or {r["y"]: r["n"] for r in labelled.groupBy(label.alias("y")).agg(F.count("*").alias("n")).collect()}
         weight = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
         model.temperature, model.shift = fit_temperature(z, y, weight)
     return model
