@@ -48,6 +48,7 @@ def test_shapes():
     body = "<nav><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul></nav><article><h1>A title</h1><p>First &amp; <b>bold</b>\n  text.<p>Second&nbsp;part.<br>More<script>no()</script></article><div class='comments'><p>Nice post, thanks.</p></div><footer>&copy; 2020 Site</footer>"
     assert text(f"<html><head><title>T</title><style>p{{}}</style></head><body>{body}</body></html>") == "A title First & bold text. Second part. More"
     assert text(body) == "A title First & bold text. Second part. More"
+    assert text("<article><p title=it's>One it's.</p><p title='a > b'>Two \"2\".</p></article>") == "One it's. Two \"2\"."
     assert text(None) == "" and text("") == "" and text("<!-- only -->") == "" and text("<script>x") == ""
     for odd in ("<", "<p", "</p>", "<a b='", "<p>" * 3000, "<div>" * 2000 + "x", "&#x110000; &#0;", "<!--", "a" * 300_000):
         text(odd)
