@@ -11,6 +11,7 @@ Every stage works on all that its predecessor kept, and its decisions take effec
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,10 +79,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table ``documents``; between stages rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
     ensure_checkpoint_dir(spark)
+    own = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"  # results may be read after the next run
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{id(docs):x}-{i}"
-            docs.write.mode("overwrite").parquet(folder)
-            docs = spark.read.parquet(folder)
+            docs.write.parquet(f"{own}/{i}")
+            docs = spark.read.parquet(f"{own}/{i}")
     return docs
