@@ -4,17 +4,22 @@ A document is its five-word shingles, weighted 1 + log2(occurrences). Every shin
 process of arrivals whose rate is its weight; an arrival falls on a random register, and a register
 keeps the shingle of its first arrival. A shingle stops when its next arrival is later than the
 document's latest register. Registers agree with the probability Jaccard similarity of documents.
+A text that repeats shingles has a second set of registers in which every weight is 1; they agree
+with plain Jaccard. For other texts the two are the same. Bands and screens go by both.
 
 Documents with equal registers in a band meet in a bucket. Groups of copies may be any size, so
 buckets never make all pairs:
 
 1. Documents with equal weighted shingles are one class from the start.
 2. In each bucket every class meets the bucket's smallest id only. Of a class's candidates the one
-   with the most equal registers is verified on the texts; verified links give components.
+   with the most equal registers, of either set, is verified on the texts; verified links give components.
 3. In buckets that still hold several components, what lies outside the largest is compared with
    the rest, other components only: no link between classes is lost to the choice of leaders, and a
    bucket that is one group of copies is done. Large buckets do so in blocks, by long signatures.
 
+Screens rule out a pair whose equal registers lie four standard deviations below the threshold in
+both sets, whatever the size of the bucket.
+
 Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least ``threshold``.
 
 Defined results: null texts, and rows without an id, are alone. Texts without words are one class
@@ -37,8 +42,8 @@ from keyloom.llm.tokens import WideHasher, mix, ngrams
 
 SHINGLE, REGISTERS, ROWS = 5, 120, 5
 BANDS = REGISTERS // ROWS
-#: Share of equal registers below which a pair is not verified: 3.6 standard deviations below 0.8.
-SCREEN = 0.67
+#: Standard deviations below the threshold at which a pair is not verified.
+SCREEN = 4
 #: Larger buckets are compared in blocks of so many, by signatures of so many registers.
 BLOCK, LONG = 128, 1024
 #: Up to so many ids, 8 bytes each, are sent to the texts; beyond, texts and ids are dealt out by id.
@@ -97,6 +102,21 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) ->
     return owner.reshape(n, m)
 
 
+def plain_signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS) -> list[np.ndarray | None]:
+    """Registers with all weights 1; None where that is what the weights are, so the others serve."""
+    out: list[np.ndarray | None] = [None] * len(sets)
+    at = [i for i, (_, w) in enumerate(sets) if len(w) and w.max() > 1]
+    for i, r in zip(at, signatures([(sets[i][0], np.ones(len(sets[i][0]))) for i in at], m)):
+        out[i] = r
+    return out
+
+
+def least_equal(threshold: float, m: int, chance: float = 0.0) -> int:
+    """Equal registers of ``m`` that a pair at ``threshold`` has but for SCREEN standard deviations; unequal shingles agree by ``chance``."""
+    least = threshold - SCREEN * np.sqrt(threshold * (1 - threshold) / m)
+    return int(m * (least + (1 - least) * chance))
+
+
 def band_keys(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band; it includes the band's number."""
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signature), BANDS)).copy()
@@ -107,7 +127,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(df: DataFrame) -> DataFrame:
-    """(id, fp, registers, bands) of each text with words or without; fp stands for the weighted set."""
+    """(id, fp, registers, plain, bands) of each text with words or without; fp stands for the weighted set.
+
+    ``plain`` is null where it equals ``registers``. Bands of both share their keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -121,16 +144,20 @@ def _sketch(df: DataFrame) -> DataFrame:
                 fp = [xxhash.xxh128_hexdigest(s.tobytes() + w.tobytes()) if len(s) else "=" + xxhash.xxh128_hexdigest(t.encode("utf-8", "surrogatepass")) for (s, w), t in zip(sets, texts)]
                 full = np.array([len(s) > 0 for s, _ in sets])
                 registers = signatures(sets)
-                keys = band_keys(registers)
+                plain = plain_signatures(sets)
+                keys = [k if p is None else np.unique(np.concatenate([k, band_keys(p[None, :])[0]])) for k, p in zip(band_keys(registers), plain)]
+                plain = pa.array([None if p is None else p.view(np.int32) for p in plain], pa.list_(pa.int32()))
                 lists = lambda x, kind: pa.array([r if f else None for r, f in zip(x, full)], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.string()), lists(registers.view(np.int32), pa.int32()), lists(keys, pa.int64())], names=["id", "fp", "registers", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.string()), lists(registers.view(np.int32), pa.int32()), plain, lists(keys, pa.int64())], names=["id", "fp", "registers", "plain", "bands"])
         tidy()
 
-    return df.mapInArrow(run, "id long, fp string, registers array<int>, bands array<long>")
+    return df.mapInArrow(run, "id long, fp string, registers array<int>, plain array<int>, bands array<long>")
 
 
-def _equal_registers(a: str, b: str) -> str:
-    return f"aggregate(zip_with({a}, {b}, (x, y) -> IF(x = y, 1, 0)), 0, (s, e) -> s + e)"
+def _equal_registers() -> str:
+    """Equal registers of ra, pa and rb, pb: the more of the two sets'."""
+    equal = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> IF(x = y, 1, 0)), 0, (s, e) -> s + e)"
+    return f"CASE WHEN pa IS NULL AND pb IS NULL THEN {equal('ra', 'rb')} ELSE greatest({equal('ra', 'rb')}, {equal('coalesce(pa, ra)', 'coalesce(pb, rb)')}) END"
 
 
 def _texts_of(texts: DataFrame, need: DataFrame) -> DataFrame:
@@ -178,10 +205,10 @@ def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
-def _scored(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
     """Pairs with the number of equal registers, where it passes the screen."""
-    both = pairs.join(sides.withColumnsRenamed({"id": "a", "registers": "ra"}), "a").join(sides.withColumnsRenamed({"id": "b", "registers": "rb"}), "b")
-    return both.select("a", "b", F.expr(_equal_registers("ra", "rb")).alias("same")).where(F.col("same") >= SCREEN * REGISTERS)
+    both = pairs.join(sides.withColumnsRenamed({"id": "a", "registers": "ra", "plain": "pa"}), "a").join(sides.withColumnsRenamed({"id": "b", "registers": "rb", "plain": "pb"}), "b")
+    return both.select("a", "b", F.expr(_equal_registers()).alias("same")).where(F.col("same") >= least_equal(threshold, REGISTERS))
 
 
 def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -195,12 +222,12 @@ def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(mixed.drop("parts"), "key")
 
 
-def _small(placed: DataFrame, sides: DataFrame) -> DataFrame:
+def _small(placed: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) across components in buckets of at most BLOCK rows that pass the screen."""
     placed = placed.join(sides, "id")
-    x = placed.where("c <> most").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("registers").alias("ra"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("most")).alias("outside"), F.col("registers").alias("rb"))
-    cross = x.join(y, (x["key"] == y["key"]) & (x["ca"] != y["cb"]) & (~y["outside"] | (x["a"] < y["b"])) & (F.expr(_equal_registers("ra", "rb")) >= SCREEN * REGISTERS))
+    x = placed.where("c <> most").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("registers").alias("ra"), F.col("plain").alias("pa"))
+    y = placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("most")).alias("outside"), F.col("registers").alias("rb"), F.col("plain").alias("pb"))
+    cross = x.join(y, (x["key"] == y["key"]) & (x["ca"] != y["cb"]) & (~y["outside"] | (x["a"] < y["b"])) & (F.expr(_equal_registers()) >= least_equal(threshold, REGISTERS)))
     return cross.select("a", "b")
 
 
@@ -208,8 +235,8 @@ def _large(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The same for larger buckets, in blocks, with longer signatures.
 
     What lies outside the largest component meets the bucket block by block; a task holds two blocks
-    and returns only pairs that the long signature, four standard deviations wide, does not rule
-    out. Its registers keep 8 bits, so unequal shingles agree in one of 256.
+    and returns only pairs that the long signatures do not both rule out. Their registers keep 8
+    bits, so unequal shingles agree in one of 256.
     """
     placed = cut(placed)
     need = placed.select("id").distinct()
@@ -219,27 +246,34 @@ def _large(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
-                got = signatures([shingles(hasher.ids(t)) for t in part.column(1).to_pylist()], LONG).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in got], pa.binary())], names=["id", "long"])
+                sets = [shingles(hasher.ids(t)) for t in part.column(1).to_pylist()]
+                got, plain = signatures(sets, LONG).astype(np.uint8), plain_signatures(sets, LONG)
+                plain = pa.array([None if r is None else r.astype(np.uint8).tobytes() for r in plain], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in got], pa.binary()), plain], names=["id", "long", "plain"])
         tidy()
 
-    signed = _texts_of(texts, need).mapInArrow(long, "id long, long binary").dropDuplicates(["id"])
+    signed = _texts_of(texts, need).mapInArrow(long, "id long, long binary, plain binary").dropDuplicates(["id"])
     rows = placed.join(signed, "id").withColumns({"nxb": F.ceil(F.col("nx") / BLOCK), "nyb": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("id")})
-    base = ["key", "id", "c", (F.col("c") != F.col("most")).alias("outside"), "long"]
+    base = ["key", "id", "c", (F.col("c") != F.col("most")).alias("outside"), "long", "plain"]
     x = rows.where("c <> most").select(*base, F.lit(0).alias("side"), F.expr("pmod(h, nxb)").alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nyb") - 1)).alias("yb"))
     y = rows.select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nxb") - 1)).alias("xb"), F.expr("pmod(h, nyb)").alias("yb"))
-    least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / LONG)
-    least = int(LONG * (least + (1 - least) / 256))
+    least = least_equal(threshold, LONG, 1 / 256)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         p, q = group[group.side == 0], group[group.side == 1]
         if not len(p) or not len(q):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        u, v = (np.frombuffer(b"".join(z["long"]), np.uint8).reshape(len(z), LONG) for z in (p, q))
+        matrix = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, LONG)
+        u, v = matrix(p["long"]), matrix(q["long"])
+        own, other = p.plain.notna().to_numpy(), q.plain.notna().to_numpy()
+        up, vp = (matrix(z["plain"].where(z["plain"].notna(), z["long"])) for z in (p, q))
         cp, cq, ip, iq, out = p.c.to_numpy(), q.c.to_numpy(), p.id.to_numpy(), q.id.to_numpy(), q.outside.to_numpy()
         a, b = [], []
         for i in range(len(p)):
-            near = ((v == u[i]).sum(axis=1) >= least) & (cq != cp[i]) & (~out | (ip[i] < iq))
+            near = (v == u[i]).sum(axis=1) >= least
+            also = np.nonzero((other | own[i]) & ~near)[0]  # where either side repeats shingles
+            near[also] = (vp[also] == up[i]).sum(axis=1) >= least
+            near &= (cq != cp[i]) & (~out | (ip[i] < iq))
             b.append(iq[near])
             a.append(np.full(int(near.sum()), ip[i]))
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -252,17 +286,17 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     texts = rows.where(F.col("id").isNotNull() & F.col("t").isNotNull())
     sketch = cut(_sketch(texts))
-    members = sketch.groupBy("fp").agg(F.min("id").alias("id"), F.any_value("registers").alias("registers"), F.any_value("bands").alias("bands"))
+    members = sketch.groupBy("fp").agg(F.min("id").alias("id"), F.any_value("registers").alias("registers"), F.any_value("plain").alias("plain"), F.any_value("bands").alias("bands"))
     members = cut(members)
     buckets = members.where("bands IS NOT NULL").select("id", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = cut(buckets.join(shared, "key").select("key", "id", "leader"))  # only buckets of two and more
-    sides = members.where("registers IS NOT NULL").select("id", "registers")
+    sides = members.where("registers IS NOT NULL").select("id", "registers", "plain")
     pairs = buckets.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    best = cut(_scored(pairs, sides).groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
+    best = cut(_scored(pairs, sides, threshold).groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
     found = cut(verify(texts, best, threshold).select("a", "b"))
     placed = cut(_mixed(buckets, components(found)))
-    cross = _small(placed.where(F.col("n") <= BLOCK), sides).union(_large(placed.where(F.col("n") > BLOCK), texts, threshold))
+    cross = _small(placed.where(F.col("n") <= BLOCK), sides, threshold).union(_large(placed.where(F.col("n") > BLOCK), texts, threshold))
     cross = cut(cross.distinct().join(best, ["a", "b"], "left_anti"))
     second = verify(texts, cross, threshold).select("a", "b")
     parts = components(found.union(second))

@@ -82,3 +82,34 @@ def test_classes_equal_brute_force(spark, sf):
 
 def test_empty_table(spark):
     assert near_dup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def repeated(r, words, n, part, times):
+    """A text, and the same with its last ``part`` words said ``times`` times: plain Jaccard over 0.9, probability Jaccard under 0.8."""
+    a = [r.choice(words) for _ in range(n)]
+    b = a + a[-part:] * (times - 1)
+    h = WideHasher()
+    x, y = (near_dup.shingles(h.ids(" ".join(t))) for t in (a, b))
+    assert len(np.intersect1d(x[0], y[0])) / len(np.union1d(x[0], y[0])) > 0.9
+    assert (near_dup.signatures([x], 1024) == near_dup.signatures([y], 1024)).mean() < 0.79
+    return " ".join(a), " ".join(b)
+
+
+def test_pairs_that_only_plain_jaccard_links_are_found(spark):
+    r = random.Random(11)
+    words = [f"p{i}" for i in range(5000)]
+    pairs = [repeated(r, words, *((150, 75, 4) if k % 2 else (300, 50, 50))) for k in range(40)]
+    rows = [(2 * k + j, p[j]) for k, p in enumerate(pairs) for j in range(2)]
+    got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_large_buckets_find_them_too(spark):
+    r = random.Random(12)
+    words = [f"p{i}" for i in range(5000)]
+    pairs = [repeated(r, words, 150, 75, 4) for _ in range(80)]
+    rows = [(2 * k + j, p[j]) for k, p in enumerate(pairs) for j in range(2)]
+    texts = spark.createDataFrame(rows, "id long, t string")
+    placed = spark.createDataFrame([(1, i, i, 0, len(rows), len(rows) - 1) for i, _ in rows], "key long, id long, c long, most long, n long, nx long")
+    got = {tuple(sorted(x)) for x in near_dup._large(placed, texts, 0.8).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(80)}
