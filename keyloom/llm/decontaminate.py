@@ -1,16 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-1. The benchmark's word n-grams are the possible seeds. One pass over the documents counts in how
-   many of them each occurs. Rare n-grams, in at most ``rare`` of all documents, stay seeds. Every
-   item also keeps the ``share`` of its n-grams that are rarest, so an item that leaked into
-   thousands of documents keeps seeds too. N-grams in no document are no seeds.
-2. A second pass looks the seeds up in every document. Hits whose diagonals (position in the
-   document less position in the item) lie near each other give a window if they are two different
-   seeds, or all that the item has. The item is aligned with the window by Smith-Waterman over words: match +1, mismatch and gap -0.5. The best score
-   divided by the item's length is the similarity; from ``threshold`` on the document is reported.
+1. Every word n-gram of an item is a seed, however many documents hold it.
+2. One pass looks the seeds up in every document. Hits whose diagonals (position in the document
+   less position in the item) lie near each other give a window; one hit is enough.
+3. An upper bound, which no alignment exceeds, rules out items and windows with too few of the
+   item's words. The others are aligned by Smith-Waterman over words: match +1, mismatch and gap
+   -0.5. The best score divided by the item's length is the similarity; from ``threshold`` on the
+   document is reported. A copy that shares no n words in a row with its item is not seen.
 
-Neither pass shuffles documents: counts are at most one row a seed and task. The benchmark's size is
-checked; a larger one is worked through in blocks of ``block_words`` words, each a bounded broadcast.
+Documents are not shuffled. The benchmark's size is checked; a larger one is worked through in blocks of ``block_words`` words, each a bounded broadcast.
 
 Defined results: null or empty texts and items match nothing. An item shorter than an n-gram is a
 seed as a whole. Repeated rows give repeated results; equal items each get their own rows. Empty
@@ -43,10 +41,9 @@ class Benchmark:
     at: np.ndarray
 
     def __post_init__(self) -> None:
-        """Seeds of each item, and a bit for the leading bits of each seed: most n-grams of a text are ruled out by it."""
+        """A bit for the leading bits of each seed: most n-grams of a text are ruled out by it."""
         self.shift = np.uint64(64 - max(16, min(27, 5 + len(self.seeds).bit_length())))
         self.some = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
-        self.own = np.bincount(self.item, minlength=len(self.ids))
         self.some[(self.seeds >> self.shift).astype(np.int64)] = True
 
 
@@ -71,23 +68,6 @@ def block_of(rows: list[tuple[object, str | None]], n: int, hasher: WideHasher)
     return Benchmark(ids, words, seeds, np.append(first, len(g)), item_[order], at_[order])
 
 
-def rarest(b: Benchmark, counts: np.ndarray, documents: int, rare: float, share: float) -> Benchmark:
-    """The same items with rare seeds only; ties keep all seeds of that count."""
-    per_entry = np.repeat(counts, np.diff(b.first))
-    seed_of = np.repeat(np.arange(len(b.seeds)), np.diff(b.first))
-    keep = (per_entry > 0) & (per_entry <= max(20, rare * documents))
-    there = np.nonzero(per_entry)[0]
-    order = there[np.lexsort((per_entry[there], b.item[there]))]
-    starts = np.searchsorted(b.item[order], np.arange(len(b.ids) + 1))
-    for i in range(len(b.ids)):
-        own = order[starts[i] : starts[i + 1]]
-        if len(own):
-            keep[own[per_entry[own] <= per_entry[own[int(np.ceil(share * len(own))) - 1]]]] = True
-    seed_of, item, at = seed_of[keep], b.item[keep], b.at[keep]
-    used, first = np.unique(seed_of, return_index=True)
-    return Benchmark(b.ids, b.words, b.seeds[used], np.append(first, len(seed_of)), item, at)
-
-
 def lookup(b: Benchmark, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``grams`` that are seeds, and which."""
     if not len(b.seeds) or not len(grams):
@@ -128,6 +108,18 @@ def align(item: np.ndarray, doc: np.ndarray, match: float = 1.0, mismatch: float
     return best, *where
 
 
+def bound(item: np.ndarray, there: np.ndarray, mismatch: float = -0.5) -> float:
+    """No alignment of ``item`` scores more with words of which ``there`` are the distinct ones, ascending.
+
+    A word of the item that is there adds at most 1; another one is a mismatch or a gap, or lies outside.
+    """
+    if not len(there):
+        return 0.0
+    found = there[np.minimum(np.searchsorted(there, item), len(there) - 1)] == item
+    total = np.concatenate([[0.0], np.cumsum(np.where(found, 1.0, mismatch))])
+    return float((total - np.minimum.accumulate(total)).max())
+
+
 def matches(b: Benchmark, words: np.ndarray, grams: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
     """(item, similarity, start, end) of items found in a document, each at its best window."""
     at, seed = lookup(b, grams)
@@ -137,17 +129,23 @@ def matches(b: Benchmark, words: np.ndarray, grams: np.ndarray, threshold: float
     entry = np.repeat(b.first[seed], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     item, diagonal = b.item[entry], np.repeat(at, n) - b.at[entry]
     order = np.lexsort((diagonal, item))
-    item, diagonal, which = item[order], diagonal[order], np.repeat(seed, n)[order]
+    item, diagonal = item[order], diagonal[order]
+    there = np.unique(words)
+    hopeful = np.array([i for i in np.unique(item) if bound(b.words[i], there) >= threshold * len(b.words[i])], dtype=np.int64)
+    on = np.isin(item, hopeful)
+    item, diagonal = item[on], diagonal[on]
+    if not len(item):
+        return []
     size = np.array([len(w) for w in b.words])[item]
     cuts = np.nonzero((item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 2 + 4))[0] + 1
     best: dict[int, tuple[float, int, int]] = {}
     for lo, hi in zip([0, *cuts], [*cuts, len(item)]):
         i, length = int(item[lo]), int(size[lo])
-        if b.own[i] > 1 and (which[lo:hi] == which[lo]).all():
-            continue
         pad = length // 3 + 4
         start = max(0, int(diagonal[lo]) - pad)
         window = words[start : int(diagonal[hi - 1]) + length + pad]
+        if bound(b.words[i], np.unique(window)) < threshold * length:
+            continue
         score, a, e = align(b.words[i], window)
         score /= length
         if score >= threshold and (i not in best or score > best[i][0]):
@@ -169,7 +167,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> I
         yield held
 
 
-def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 0.0005, share: float = 0.5, threshold: float = 0.5, block_words: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_words: int = 2_000_000, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start, end): items found in documents, positions in words."""
     spark = docs.sparkSession
     kinds = [docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
@@ -178,23 +176,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, rare: float = 0.0005
     out = None
     for rows in blocks(benchmark, item_id, text, block_words):
         block = block_of(rows, n, WideHasher())
-        possible = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch], possible=possible) -> Iterator[pa.RecordBatch]:
-            b, hasher = possible.value, WideHasher()
-            total = np.zeros(len(b.seeds) + 1, dtype=np.int64)  # the last counts documents
-            for batch in batches:
-                total[-1] += batch.num_rows
-                for t in batch.column(0).to_pylist():
-                    total[np.unique(lookup(b, quick_ngrams(hasher.ids(t), n))[1])] += 1
-            found = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["s", "n"])
-
-        counts = np.zeros(len(block.seeds) + 1, dtype=np.int64)
-        for r in texts.select("t").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
-            counts[r["s"]] = r["n"]
-        documents, counts = int(counts[-1]), counts[:-1]
-        kept = spark.sparkContext.broadcast(rarest(block, counts, documents, rare, share))
+        kept = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
             b, hasher = kept.value, WideHasher()

@@ -67,3 +67,28 @@ def test_empty_tables(spark):
     one_d, one_b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert d.find(none_d, one_b).count() == d.find(one_d, none_b).count() == 0
     assert d.find(one_d, one_b).count() == 1
+
+
+def edited(r, words, text, share):
+    return [r.choice(words) if r.random() < share else w for w in text.split()]
+
+
+def test_an_item_in_thousands_of_edited_copies_is_found_as_full_alignment_finds_it(spark):
+    r, h = random.Random(6), WideHasher()
+    words = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(words) for _ in range(n))) for i, n in enumerate((9, 14, 27))]
+    docs = []
+    for k in range(2400):
+        body = [r.choice(words) for _ in range(60)]
+        body[30:30] = edited(r, words, items[k % 3][1], 0.25)
+        docs.append((k, " ".join(body)))
+    want, unseen = set(), set()
+    for k, t in docs:
+        for i, item in items:
+            a, w = h.ids(item), h.ids(t)
+            if np.isin(a, w).sum() >= 0.5 * len(a) and d.align(a, w)[0] >= 0.5 * len(a):
+                want.add((k, i))
+                if not np.isin(d.quick_ngrams(a, 3), d.quick_ngrams(w, 3)).any():
+                    unseen.add((k, i))
+    found = d.find(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want - unseen and len(want) > 2000 and len(unseen) < 0.05 * len(want)
