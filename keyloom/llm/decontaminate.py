@@ -2,7 +2,9 @@
 
 1. Every word n-gram of an item is a seed, however many documents hold it.
 2. One pass looks the seeds up in every document. Hits whose diagonals (position in the document
-   less position in the item) lie near each other give a window; one hit is enough.
+   less position in the item) lie near each other give a window; one hit is enough. Near is as
+   far as an alignment can shift before gaps take it below the threshold, and the window reaches as
+   far beyond the hits: an alignment that holds a seed lies in one window.
 3. An upper bound, which no alignment exceeds, rules out items and windows with too few of the
    item's words. The others are aligned by Smith-Waterman over words: match +1, mismatch and gap
    -0.5. The best score divided by the item's length is the similarity; from ``threshold`` on the
@@ -137,11 +139,11 @@ def matches(b: Benchmark, words: np.ndarray, grams: np.ndarray, threshold: float
     if not len(item):
         return []
     size = np.array([len(w) for w in b.words])[item]
-    cuts = np.nonzero((item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > size[1:] // 2 + 4))[0] + 1
+    reach = np.ceil((1 - threshold) * size / 0.5).astype(np.int64) + 1  # a gap costs 0.5 a word
+    cuts = np.nonzero((item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > reach[1:]))[0] + 1
     best: dict[int, tuple[float, int, int]] = {}
     for lo, hi in zip([0, *cuts], [*cuts, len(item)]):
-        i, length = int(item[lo]), int(size[lo])
-        pad = length // 3 + 4
+        i, length, pad = int(item[lo]), int(size[lo]), int(reach[lo])
         start = max(0, int(diagonal[lo]) - pad)
         window = words[start : int(diagonal[hi - 1]) + length + pad]
         if bound(b.words[i], np.unique(window)) < threshold * length:

@@ -92,3 +92,24 @@ def test_an_item_in_thousands_of_edited_copies_is_found_as_full_alignment_finds_
                     unseen.add((k, i))
     found = d.find(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id) for x in found} == want - unseen and len(want) > 2000 and len(unseen) < 0.05 * len(want)
+
+
+def one_item(item, doc):
+    h = WideHasher()
+    b, w = d.block_of([(1, item)], 3, h), h.ids(doc)
+    return d.matches(b, w, d.quick_ngrams(w, 3), 0.5), d.align(b.words[0], w)[0] / len(b.words[0])
+
+
+def test_a_copy_with_a_long_block_put_inside_is_found_whole():
+    r = random.Random(7)
+    words = [f"v{i}" for i in range(3000)]
+    for length, inside, edits in ((40, 25, 2), (40, 25, 3), (56, 33, 2), (56, 33, 3)):
+        for _ in range(30):
+            item = [r.choice(words) for _ in range(length)]
+            copy = list(item)
+            for k in r.sample(range(length), edits):
+                copy[k] = r.choice(words)
+            copy[length // 2 : length // 2] = [r.choice(words) for _ in range(inside)]
+            doc = [r.choice(words) for _ in range(100)] + copy + [r.choice(words) for _ in range(100)]
+            found, full = one_item(" ".join(item), " ".join(doc))
+            assert (found[0][1] if found else 0.0) == (full if full >= 0.5 else 0.0)
