@@ -113,3 +113,9 @@ def test_a_copy_with_a_long_block_put_inside_is_found_whole():
             doc = [r.choice(words) for _ in range(100)] + copy + [r.choice(words) for _ in range(100)]
             found, full = one_item(" ".join(item), " ".join(doc))
             assert (found[0][1] if found else 0.0) == (full if full >= 0.5 else 0.0)
+
+
+def test_an_item_of_one_repeated_seed_is_found(spark):
+    docs = spark.createDataFrame([(1, "she said no no no no no and left"), (2, "nothing at all in here")], "doc_id long, text string")
+    found = d.find(docs, spark.createDataFrame([(1, "no no no no no")], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.similarity) for x in found] == [(1, 1.0)]
