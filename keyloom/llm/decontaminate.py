@@ -203,3 +203,23 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0
     if out is None:
         out = spark.createDataFrame([], schema)
     return out.withColumnsRenamed({"d": doc_id, "i": item_id})
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_words: int = 2_000_000, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which ``find`` finds nothing; decided row by row, whatever their ids."""
+    out, column = docs, docs.columns.index(text)
+    for rows in blocks(benchmark, item_id, text, block_words):
+        kept = docs.sparkSession.sparkContext.broadcast(block_of(rows, n, WideHasher()))
+
+        def scan(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
+            b, hasher = kept.value, WideHasher()
+            for batch in batches:
+                stay = []
+                for t in batch.column(column).to_pylist():
+                    words = hasher.ids(t)
+                    stay.append(not matches(b, words, quick_ngrams(words, n), threshold))
+                yield batch.filter(pa.array(stay, pa.bool_()))
+            tidy()
+
+        out = out.mapInArrow(scan, docs.schema)
+    return out

@@ -77,3 +77,14 @@ def test_stages_keep_the_columns_and_survive_odd_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         n = stage(spark, odd, str(tmp_path)).count()
         assert n == 3 or (name == "language_id" and n == 0), name  # no labelled text, no language
+
+
+def test_a_contaminated_row_without_an_id_goes(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "which of these seven words is the right answer here"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before it {item} and after it"), (None, "nothing of the kind"), (None, None), (3, item), (4, "also nothing")]
+    docs = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(str(x.text) for x in got) == ["None", "also nothing", "nothing of the kind"]
