@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,11 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a private one only where it names none."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a session within one process may do without: a folder of this machine is of no use to executors elsewhere.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
+        if not named:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="keyloom-checkpoint-")
+        sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,32 +58,61 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def labelled_sample(rows: DataFrame, label: Column, per_label: int, max_chars: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple[object, str]]:
+def labelled_sample(rows: DataFrame, label: Column, per_label: int, doc_id: str = "doc_id", text: str = "text", least_chars: int = 0) -> list[tuple[object, str]]:
     """At most ``per_label`` (label, text) rows for each label value, chosen by a hash of the text.
 
-    Only for fitting a classifier. Longer texts than ``max_chars`` are not used for fitting, and
-    equal texts count once, so the driver holds at most labels x per_label x max_chars characters.
-    The choice does not depend on partitioning. Null labels and null texts are left out.
+    Only for fitting a classifier: labels x per_label whole texts reach the driver, whatever the
+    table's size. Equal texts count once. The choice does not depend on partitioning. Null labels,
+    null texts and texts shorter than ``least_chars`` are left out.
     """
-    base = rows.select(label.alias("_y"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("_h"))
-    base = base.where(F.col("_y").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") <= max_chars))
-    counts = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    base = rows.select(label.alias("_y"), F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("_h")).where(F.col("_y").isNotNull() & (F.length("_t") >= least_chars))
+    counts = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.approx_count_distinct("_h").alias("n")).collect()}
     if not counts:
         return []
-    # a threshold on the hash keeps about 4 x per_label rows of a label; then the smallest hashes win
+    # a threshold on the hash keeps about 4 x per_label rows of a label, without their texts; the smallest hashes win
+    chosen: dict[object, list[int]] = {}
+    keys = base.select("_y", "_h").where(thinned(F.col("_y"), F.col("_h"), counts, 4 * per_label)).distinct()
+    for r in keys.withColumn("_n", F.row_number().over(Window.partitionBy("_y").orderBy("_h"))).where(F.col("_n") <= per_label).collect():
+        chosen.setdefault(r["_y"], []).append(r["_h"])
+    keep = F.lit(False)
+    for value, hashes in chosen.items():
+        keep = keep | ((F.col("_y") == F.lit(value)) & (F.col("_h") <= F.lit(max(hashes))))
+    found = base.where(keep).groupBy("_y", "_h").agg(F.first("_t").alias("_t")).collect()
+    return [(r["_y"], r["_t"]) for r in sorted(found, key=lambda r: (str(r["_y"]), r["_h"]))]
+
+
+def thinned(label: Column, hashed: Column, counts: dict, about: int) -> Column:
+    """True for about ``about`` rows of each label value, those with the smallest hashes."""
     keep = F.lit(False)
     for value, n in counts.items():
-        share = min(1.0, 4.0 * per_label / n)
+        share = min(1.0, about / max(1, n))
         top = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-        keep = keep | ((F.col("_y") == F.lit(value)) & (F.col("_h") <= F.lit(top)))
-    found = base.where(keep).dropDuplicates(["_y", "_h"])
-    out: list[tuple[object, str]] = []
-    by: dict[object, list] = {}
-    for r in found.collect():
-        by.setdefault(r["_y"], []).append((r["_h"], r["_t"]))
-    for value in sorted(by, key=str):
-        out += [(value, t) for _, t in sorted(by[value])[:per_label]]
-    return out
+        keep = keep | ((label == F.lit(value)) & (hashed <= F.lit(top)))
+    return keep
+
+
+def hot_keys(counts: DataFrame, key: str, total: int, least: int = 2_000, most_hot: int = 20_000) -> list[tuple]:
+    """(key, parts) of keys that more rows share than one task should read; ``counts`` has (key, n).
+
+    That is beyond ``least`` rows, or total / ``most_hot`` if that is more, so there are at most ``most_hot``.
+    """
+    if total <= least:
+        return []
+    limit = max(least, total // most_hot)
+    return [tuple(r) for r in counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit)).collect()]
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, by: str, hot: list[tuple]) -> DataFrame:
+    """``rows`` joined with ``unique``, which has one row a key; rows of a ``hot`` key are dealt to its number of parts.
+
+    Parts go by the hash of ``by``; ``unique`` repeats the row of a hot key once a part. Without hot keys it is a plain join.
+    """
+    if not hot:
+        return rows.join(unique, key)
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"`{key}` {rows.schema[key].dataType.simpleString()}, _parts long"))
+    left = rows.join(parts, key, "left").withColumn("_part", F.coalesce(F.expr(f"pmod(xxhash64(`{by}`), _parts)"), F.lit(0).cast("long"))).drop("_parts")
+    right = unique.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
 
 
 def crc_mod(doc_id: str, m: int) -> Column:

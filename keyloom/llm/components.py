@@ -6,15 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut
+from keyloom.llm.common import cut, hot_keys, spread_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable; only nodes that have links.
 
     Alternating stars: links of a node to larger neighbours move to its smallest neighbour, then
-    links to smaller ones do. Every round halves paths; minima are partial aggregates and joins
-    of a hot node's links can be split, so a star of any size is spread over tasks.
+    links to smaller ones do. Every round halves paths; minima are partial aggregates, and in joins
+    a hot node's links are dealt to many tasks, so a star of any size is spread.
     """
     x, y = F.col(a), F.col(b)
     now = cut(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
@@ -25,11 +25,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hot = hot_keys(least, "u", 2 * seen[0])
+        large = spread_join(both.where(F.col("v") > F.col("u")), least.select("u", F.least("u", "m").alias("m")), "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hot = hot_keys(least, "u", seen[0])
+        small = spread_join(large, least.select("u", "m"), "u", "v", hot).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         then, seen = seen, mark(now)
         if then == seen:

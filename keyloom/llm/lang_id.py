@@ -98,10 +98,10 @@ def suffix_automaton(symbols: bytes) -> np.ndarray:
     return table
 
 
-def train(rows: DataFrame, per_language: int = 40, max_chars: int = 8_000, sample_symbols: int = 30_000, lang: str = "lang", text: str = "text") -> LanguageModel:
+def train(rows: DataFrame, per_language: int = 40, sample_symbols: int = 30_000, lang: str = "lang", text: str = "text") -> LanguageModel:
     """From at most ``per_language`` labelled texts of each language, ``sample_symbols`` in all."""
     found: dict[str, list[str]] = {}
-    for name, t in labelled_sample(rows, F.col(lang), per_language, max_chars, text=text):
+    for name, t in labelled_sample(rows, F.col(lang), per_language, text=text):
         found.setdefault(str(name), []).append(t)
     counts: Counter[str] = Counter()
     for texts in found.values():

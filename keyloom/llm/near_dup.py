@@ -11,19 +11,27 @@ Documents with equal registers in a band meet in a bucket. Groups of copies may
 buckets never make all pairs:
 
 1. Documents with equal weighted shingles are one class from the start.
-2. In each bucket every class meets the bucket's smallest id only. Of a class's candidates the one
+2. In each bucket every class meets the bucket's first one only. Of a class's candidates the one
    with the most equal registers, of either set, is verified on the texts; verified links give components.
 3. In buckets that still hold several components, what lies outside the largest is compared with
    the rest, other components only: no link between classes is lost to the choice of leaders, and a
-   bucket that is one group of copies is done. Large buckets do so in blocks, by long signatures.
+   bucket that is one group of copies is done. A bucket of any size does so in blocks of ``BLOCK``
+   rows, two of them a task, by the same registers and the same screen.
 
-Screens rule out a pair whose equal registers lie four standard deviations below the threshold in
-both sets, whatever the size of the bucket.
+The screen rules out a pair whose equal registers lie four standard deviations below the threshold in
+both sets. Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least
+``threshold``.
 
-Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least ``threshold``.
+Rows are told apart by their id and a hash of their text, so rows that share an id are documents of
+their own, each in the class of its own text. class_id is the smallest id in the class. Of a class
+one document is kept: the one with that id and, if several texts share it, the smallest hash; rows
+that repeat both id and text are one document and are all marked.
+
+Joins on what may be hot (a bucket, a leader, a text with many copies) deal such rows to many tasks.
 
 Defined results: null texts, and rows without an id, are alone. Texts without words are one class
-if they are equal. A text shorter than a shingle is one shingle. Empty tables give an empty result.
+if they are equal. A text shorter than a shingle is one shingle. Texts of any length are hashed whole.
+Other columns are not read, whatever their names. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, tidy
+from keyloom.llm.common import cut, hot_keys, spread_join, tidy
 from keyloom.llm.components import components
 from keyloom.llm.tokens import WideHasher, mix, ngrams
 
@@ -44,8 +52,8 @@ SHINGLE, REGISTERS, ROWS = 5, 120, 5
 BANDS = REGISTERS // ROWS
 #: Standard deviations below the threshold at which a pair is not verified.
 SCREEN = 4
-#: Larger buckets are compared in blocks of so many, by signatures of so many registers.
-BLOCK, LONG = 128, 1024
+#: Buckets are compared in blocks of so many rows.
+BLOCK = 256
 #: Up to so many ids, 8 bytes each, are sent to the texts; beyond, texts and ids are dealt out by id.
 SENT_IDS = 1_000_000
 
@@ -111,10 +119,9 @@ def plain_signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTE
     return out
 
 
-def least_equal(threshold: float, m: int, chance: float = 0.0) -> int:
-    """Equal registers of ``m`` that a pair at ``threshold`` has but for SCREEN standard deviations; unequal shingles agree by ``chance``."""
-    least = threshold - SCREEN * np.sqrt(threshold * (1 - threshold) / m)
-    return int(m * (least + (1 - least) * chance))
+def least_equal(threshold: float, m: int = REGISTERS) -> int:
+    """Equal registers of ``m`` that a pair at ``threshold`` has but for SCREEN standard deviations."""
+    return int(m * (threshold - SCREEN * np.sqrt(threshold * (1 - threshold) / m)))
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -127,7 +134,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _sketch(df: DataFrame) -> DataFrame:
-    """(id, fp, registers, plain, bands) of each text with words or without; fp stands for the weighted set.
+    """(id, th, fp, registers, plain, bands) of each text (id, th, t) with words or without; fp stands for the weighted set.
 
     ``plain`` is null where it equals ``registers``. Bands of both share their keys.
     """
@@ -139,7 +146,7 @@ def _sketch(df: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 400):
                 part = batch.slice(start, 400)
-                texts = part.column(1).to_pylist()
+                texts = part.column(2).to_pylist()
                 sets = [shingles(hasher.ids(t)) for t in texts]
                 fp = [xxhash.xxh128_hexdigest(s.tobytes() + w.tobytes()) if len(s) else "=" + xxhash.xxh128_hexdigest(t.encode("utf-8", "surrogatepass")) for (s, w), t in zip(sets, texts)]
                 full = np.array([len(s) > 0 for s, _ in sets])
@@ -148,10 +155,10 @@ def _sketch(df: DataFrame) -> DataFrame:
                 keys = [k if p is None else np.unique(np.concatenate([k, band_keys(p[None, :])[0]])) for k, p in zip(band_keys(registers), plain)]
                 plain = pa.array([None if p is None else p.view(np.int32) for p in plain], pa.list_(pa.int32()))
                 lists = lambda x, kind: pa.array([r if f else None for r, f in zip(x, full)], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.string()), lists(registers.view(np.int32), pa.int32()), plain, lists(keys, pa.int64())], names=["id", "fp", "registers", "plain", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.string()), lists(registers.view(np.int32), pa.int32()), plain, lists(keys, pa.int64())], names=["id", "th", "fp", "registers", "plain", "bands"])
         tidy()
 
-    return df.mapInArrow(run, "id long, fp string, registers array<int>, plain array<int>, bands array<long>")
+    return df.mapInArrow(run, "id long, th long, fp string, registers array<int>, plain array<int>, bands array<long>")
 
 
 def _equal_registers() -> str:
@@ -160,14 +167,13 @@ def _equal_registers() -> str:
     return f"CASE WHEN pa IS NULL AND pb IS NULL THEN {equal('ra', 'rb')} ELSE greatest({equal('ra', 'rb')}, {equal('coalesce(pa, ra)', 'coalesce(pb, rb)')}) END"
 
 
-def _texts_of(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """(id, t) of the distinct ids in ``need``; few ids spare the texts a shuffle."""
-    few = need.limit(SENT_IDS + 1).count() <= SENT_IDS
-    return texts.join(F.broadcast(need) if few else need, "id").select("id", "t")
-
-
 def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """(id, s, n): distinct shingles and how often they occur, packed; repetitive texts become short."""
+    """(node, s, n) of each of ``need`` (node, id, th): distinct shingles and how often they occur, packed.
+
+    Few documents are named to the texts and spare them a shuffle; repetitive texts become short.
+    """
+    few = need.limit(SENT_IDS + 1).count() <= SENT_IDS
+    found = texts.join(F.broadcast(need) if few else need, ["id", "th"]).select("node", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WideHasher(limit=100_000)
@@ -175,22 +181,27 @@ def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 got = [np.unique(ngrams(hasher.ids(t), SHINGLE), return_counts=True) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())], names=["id", "s", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())], names=["node", "s", "n"])
         tidy()
 
-    return _texts_of(texts, need).mapInArrow(run, "id long, s binary, n binary")
+    # repeated rows have equal sets: one of them, before the shuffle
+    return found.mapInArrow(run, "node long, s binary, n binary").groupBy("node").agg(F.first("s").alias("s"), F.first("n").alias("n"))
+
+
+def _hot_b(pairs: DataFrame) -> list[tuple]:
+    """Nodes that very many of the checkpointed ``pairs`` have as b."""
+    return hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), "b", pairs.count())
 
 
-def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of ids whose texts (id, t) are similar enough, with their similarity.
+def verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose texts (id, th, t) are similar enough, with their similarity.
 
-    Only texts that are asked for are moved, as shingle sets. The id that many pairs may share is
-    joined last, so the large side of that join can be split.
+    ``members`` has (node, id, th). Only texts that are asked for are moved, as shingle sets.
     """
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    held = cut(_sets_of(texts, need))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    held = cut(_sets_of(texts, members.select("node", "id", "th").join(asked, "node")))
     left = pairs.join(held.toDF("a", "sa", "na"), "a")
-    both = left.join(held.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "na", "sb", "nb")
+    both = spread_join(left, held.toDF("b", "sb", "nb"), "b", "a", _hot_b(pairs)).select("a", "b", "sa", "na", "sb", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lambda s, n: (np.frombuffer(s, np.uint64), 1 + np.log2(np.frombuffer(n, np.uint32)))
@@ -206,68 +217,43 @@ def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with the number of equal registers, where it passes the screen."""
-    both = pairs.join(sides.withColumnsRenamed({"id": "a", "registers": "ra", "plain": "pa"}), "a").join(sides.withColumnsRenamed({"id": "b", "registers": "rb", "plain": "pb"}), "b")
-    return both.select("a", "b", F.expr(_equal_registers()).alias("same")).where(F.col("same") >= least_equal(threshold, REGISTERS))
+    """Pairs with the number of equal registers, where it passes the screen. Many pairs may share b."""
+    left = pairs.join(sides.withColumnsRenamed({"node": "a", "registers": "ra", "plain": "pa"}), "a")
+    both = spread_join(left, sides.withColumnsRenamed({"node": "b", "registers": "rb", "plain": "pb"}), "b", "a", _hot_b(pairs))
+    return both.select("a", "b", F.expr(_equal_registers()).alias("same")).where(F.col("same") >= least_equal(threshold))
 
 
-def _mixed(buckets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, id, c, most, n, nx) of buckets that hold several components.
+def _mixed(buckets: DataFrame, parts: DataFrame, hot: list[tuple]) -> DataFrame:
+    """(key, node, c, most, n, nx) of buckets that hold several components.
 
     ``most`` is the largest component there, n the bucket's size and nx what lies outside of it.
     """
-    placed = buckets.select("key", "id").join(parts.withColumnsRenamed({"node": "id"}), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    placed = buckets.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("nx")).where("parts > 1")
-    return placed.join(mixed.drop("parts"), "key")
+    mixed = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("nx")).where("parts > 1").drop("parts")
+    return spread_join(placed, mixed, "key", "node", hot)
 
 
-def _small(placed: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) across components in buckets of at most BLOCK rows that pass the screen."""
-    placed = placed.join(sides, "id")
-    x = placed.where("c <> most").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("registers").alias("ra"), F.col("plain").alias("pa"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("most")).alias("outside"), F.col("registers").alias("rb"), F.col("plain").alias("pb"))
-    cross = x.join(y, (x["key"] == y["key"]) & (x["ca"] != y["cb"]) & (~y["outside"] | (x["a"] < y["b"])) & (F.expr(_equal_registers()) >= least_equal(threshold, REGISTERS)))
-    return cross.select("a", "b")
-
-
-def _large(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The same for larger buckets, in blocks, with longer signatures.
+def _cross(placed: DataFrame, sides: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) across components within a bucket that pass the screen.
 
     What lies outside the largest component meets the bucket block by block; a task holds two blocks
-    and returns only pairs that the long signatures do not both rule out. Their registers keep 8
-    bits, so unequal shingles agree in one of 256.
+    and returns only pairs that the registers of neither set rule out.
     """
-    placed = cut(placed)
-    need = placed.select("id").distinct()
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WideHasher(limit=100_000)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                part = batch.slice(start, 100)
-                sets = [shingles(hasher.ids(t)) for t in part.column(1).to_pylist()]
-                got, plain = signatures(sets, LONG).astype(np.uint8), plain_signatures(sets, LONG)
-                plain = pa.array([None if r is None else r.astype(np.uint8).tobytes() for r in plain], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in got], pa.binary()), plain], names=["id", "long", "plain"])
-        tidy()
-
-    signed = _texts_of(texts, need).mapInArrow(long, "id long, long binary, plain binary").dropDuplicates(["id"])
-    rows = placed.join(signed, "id").withColumns({"nxb": F.ceil(F.col("nx") / BLOCK), "nyb": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("id")})
-    base = ["key", "id", "c", (F.col("c") != F.col("most")).alias("outside"), "long", "plain"]
+    rows = placed.join(sides, "node").withColumns({"nxb": F.ceil(F.col("nx") / block), "nyb": F.ceil(F.col("n") / block), "h": F.xxhash64("node")})
+    base = ["key", "node", "c", (F.col("c") != F.col("most")).alias("outside"), "registers", "plain"]
     x = rows.where("c <> most").select(*base, F.lit(0).alias("side"), F.expr("pmod(h, nxb)").alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nyb") - 1)).alias("yb"))
     y = rows.select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nxb") - 1)).alias("xb"), F.expr("pmod(h, nyb)").alias("yb"))
-    least = least_equal(threshold, LONG, 1 / 256)
+    least = least_equal(threshold)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         p, q = group[group.side == 0], group[group.side == 1]
         if not len(p) or not len(q):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        matrix = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, LONG)
-        u, v = matrix(p["long"]), matrix(q["long"])
+        u, v = np.stack(p.registers.to_numpy()), np.stack(q.registers.to_numpy())
         own, other = p.plain.notna().to_numpy(), q.plain.notna().to_numpy()
-        up, vp = (matrix(z["plain"].where(z["plain"].notna(), z["long"])) for z in (p, q))
-        cp, cq, ip, iq, out = p.c.to_numpy(), q.c.to_numpy(), p.id.to_numpy(), q.id.to_numpy(), q.outside.to_numpy()
+        up, vp = (np.stack(z.plain.where(z.plain.notna(), z.registers).to_numpy()) for z in (p, q))
+        cp, cq, ip, iq, out = p.c.to_numpy(), q.c.to_numpy(), p.node.to_numpy(), q.node.to_numpy(), q.outside.to_numpy()
         a, b = [], []
         for i in range(len(p)):
             near = (v == u[i]).sum(axis=1) >= least
@@ -282,25 +268,35 @@ def _large(placed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, kept): class_id is the smallest id of the class; its document is kept."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    texts = rows.where(F.col("id").isNotNull() & F.col("t").isNotNull())
+    """(doc_id, class_id, kept, text_hash): class_id is the smallest id of the class, whose document is kept.
+
+    ``text_hash`` is xxhash64 of the text: with the id it names the document.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).withColumn("th", F.xxhash64("t"))
+    texts = rows.where(F.col("id").isNotNull() & F.col("t").isNotNull()).select("id", "th", "t")
     sketch = cut(_sketch(texts))
-    members = sketch.groupBy("fp").agg(F.min("id").alias("id"), F.any_value("registers").alias("registers"), F.any_value("plain").alias("plain"), F.any_value("bands").alias("bands"))
-    members = cut(members)
-    buckets = members.where("bands IS NOT NULL").select("id", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    buckets = cut(buckets.join(shared, "key").select("key", "id", "leader"))  # only buckets of two and more
-    sides = members.where("registers IS NOT NULL").select("id", "registers", "plain")
-    pairs = buckets.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    members = sketch.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("registers", "plain", "bands")))
+    # nodes are numbered once: the checkpoint holds the numbers
+    members = cut(members.select(F.monotonically_increasing_id().alias("node"), "fp", "first.id", "first.th", "n", "registers", "plain", "bands"))
+    total = members.count()
+    buckets = members.where("bands IS NOT NULL").select("node", F.explode("bands").alias("key"))
+    shared = cut(buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+    hot = hot_keys(shared, "key", 2 * BANDS * total)
+    buckets = cut(spread_join(buckets, shared.select("key", "leader"), "key", "node", hot))  # only buckets of two and more
+    sides = members.where("registers IS NOT NULL").select("node", "registers", "plain")
+    pairs = cut(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     best = cut(_scored(pairs, sides, threshold).groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
-    found = cut(verify(texts, best, threshold).select("a", "b"))
-    placed = cut(_mixed(buckets, components(found)))
-    cross = _small(placed.where(F.col("n") <= BLOCK), sides, threshold).union(_large(placed.where(F.col("n") > BLOCK), texts, threshold))
-    cross = cut(cross.distinct().join(best, ["a", "b"], "left_anti"))
-    second = verify(texts, cross, threshold).select("a", "b")
+    found = cut(verify(texts, members, best, threshold).select("a", "b"))
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = _cross(_mixed(buckets, components(found), hot), sides, threshold)
+    cross = cut(ordered(cross).distinct().join(ordered(best), ["a", "b"], "left_anti"))
+    second = verify(texts, members, cross, threshold).select("a", "b")
     parts = components(found.union(second))
-    named = members.select("fp", "id").join(parts.withColumnsRenamed({"node": "id"}), "id", "left").select("fp", F.coalesce("component", "id").alias("class_id"))
-    out = sketch.select("id", "fp").join(named, "fp").select("id", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
-    rest = rows.where(F.col("id").isNull() | F.col("t").isNull()).select("id", F.col("id").alias("class_id"), F.lit(True).alias("kept"))
+    named = members.select("fp", "id", "th", "node").join(parts, "node", "left").select("fp", "id", "th", F.coalesce("component", "node").alias("c"))
+    firsts = named.groupBy("c").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n"))
+    named = spread_join(named, firsts.select("c", "first"), "c", "fp", hot_keys(firsts, "c", total)).select("fp", "first")
+    rows_n = members.agg(F.sum("n")).first()[0] or 0
+    out = spread_join(sketch.select("id", "th", "fp"), named, "fp", "id", hot_keys(members, "fp", rows_n))
+    out = out.select("id", F.col("first.id").alias("class_id"), ((F.col("id") == F.col("first.id")) & (F.col("th") == F.col("first.th"))).alias("kept"), F.col("th").alias("text_hash"))
+    rest = rows.where(F.col("id").isNull() | F.col("t").isNull()).select("id", F.col("id").alias("class_id"), F.lit(True).alias("kept"), F.when(F.col("t").isNotNull(), F.col("th")).alias("text_hash"))
     return out.union(rest).withColumnRenamed("id", doc_id)

@@ -175,14 +175,14 @@ def fit_temperature(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[f
     return best[1], best[2]
 
 
-def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int = 2_500, max_chars: int = 20_000, text: str = "text", counts: dict[int, int] | None = None) -> QualityModel:
+def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int = 2_500, text: str = "text", counts: dict[int, int] | None = None) -> QualityModel:
     """Word vectors from all of ``docs``; the network from at most ``per_label`` labelled texts of each kind.
 
     ``counts``: labels of each kind in all, if ``labelled`` is a sample already.
     """
     model, h = QualityModel(word_vectors(docs, text)), hasher()
     found: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for y, t in labelled_sample(labelled, label, per_label, max_chars, text=text):
+    for y, t in labelled_sample(labelled, label, per_label, text=text):
         if y in found:
             found[y].append(pool(model.vectors, h.ids(t)))
     take = lambda held: [(x, y) for y, xs in found.items() for i, x in enumerate(xs) if (i % 4 == 3) == held]

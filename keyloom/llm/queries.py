@@ -36,7 +36,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near copies, and whether it is the one that stays."""
-    return near_dup.classes(table(spark, sf_dir, "documents"))
+    return near_dup.classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

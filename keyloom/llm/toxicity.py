@@ -207,7 +207,7 @@ def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[i] + z[i + 1]) / 2) if i + 1 < len(z) else float(z[i] - 1)
 
 
-def train(rows: DataFrame, label: Column, per_label: int = 1_000, max_chars: int = 20_000, least: int = 25, text: str = "text") -> ToxicityModel:
+def train(rows: DataFrame, label: Column, per_label: int = 1_000, least: int = 25, text: str = "text") -> ToxicityModel:
     """From at most ``per_label`` labelled texts of each kind; one in four only calibrates.
 
     A language group has a threshold of its own if it has ``least`` held-back texts of each kind.
@@ -215,7 +215,7 @@ def train(rows: DataFrame, label: Column, per_label: int = 1_000, max_chars: int
     h = hasher()
     group = LanguageGroup(h)
     found: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for y, t in labelled_sample(rows, label, per_label, max_chars, text=text):
+    for y, t in labelled_sample(rows, label, per_label, text=text):
         if y in found:
             found[y].append(h.ids(t))
     part = lambda held: [(y, x) for y, xs in found.items() for i, x in enumerate(xs) if (i % 4 == 3) == held]

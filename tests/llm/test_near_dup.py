@@ -104,12 +104,64 @@ def test_pairs_that_only_plain_jaccard_links_are_found(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
-def test_large_buckets_find_them_too(spark):
+def test_a_text_and_itself_with_its_half_repeated(spark):
+    r = random.Random(13)
+    a = [r.choice([f"p{i}" for i in range(5000)]) for _ in range(104)]
+    rows = [(1, " ".join(a)), (2, " ".join(a + a[:52] * 64))]
+    h = WideHasher()
+    assert near_dup.similarity(*(near_dup.shingles(h.ids(t)) for _, t in rows)) > 0.9
+    assert [x.class_id for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1, 1]
+
+
+@pytest.mark.parametrize("block", [16, 1000])  # buckets on each side of the block's size
+def test_blocks_find_every_pair(spark, block):
     r = random.Random(12)
     words = [f"p{i}" for i in range(5000)]
     pairs = [repeated(r, words, 150, 75, 4) for _ in range(80)]
-    rows = [(2 * k + j, p[j]) for k, p in enumerate(pairs) for j in range(2)]
-    texts = spark.createDataFrame(rows, "id long, t string")
-    placed = spark.createDataFrame([(1, i, i, 0, len(rows), len(rows) - 1) for i, _ in rows], "key long, id long, c long, most long, n long, nx long")
-    got = {tuple(sorted(x)) for x in near_dup._large(placed, texts, 0.8).collect()}
+    h = WideHasher()
+    sets = [near_dup.shingles(h.ids(p[j])) for p in pairs for j in range(2)]
+    signed, plain = near_dup.signatures(sets).view(np.int32), near_dup.plain_signatures(sets)
+    sides = spark.createDataFrame([(i, s.tolist(), None if p is None else p.view(np.int32).tolist()) for i, (s, p) in enumerate(zip(signed, plain))], "node long, registers array<int>, plain array<int>")
+    placed = spark.createDataFrame([(1, i, i, 0, len(sets), len(sets) - 1) for i in range(len(sets))], "key long, node long, c long, most long, n long, nx long")
+    got = {tuple(sorted(x)) for x in near_dup._cross(placed, sides, 0.8, block).collect()}
     assert got == {(2 * k, 2 * k + 1) for k in range(80)}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(1, a), (7, a), (7, b), (9, b), (9, b), (4, a + "!"), (4, a)]
+    got = sorted((x.doc_id, x.class_id, x.kept) for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(1, 1, True), (4, 1, False), (4, 1, False), (7, 1, False), (7, 7, True), (9, 7, False), (9, 7, False)]
+    rows = [(4, a + "!"), (4, a), (4, a)]  # one class, one id, two texts: one of them is kept
+    kept = [x.text_hash for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.kept]
+    assert len(set(kept)) == 1
+
+
+def test_hot_keys_are_dealt_out_and_lose_nothing(spark):
+    from keyloom.llm.common import hot_keys, spread_join
+
+    rows = spark.range(5000).selectExpr("IF(id % 3 = 0, id, 7) AS k", "id AS v")
+    unique = spark.range(0, 5000).selectExpr("id AS k", "id * 2 AS w").where("k % 2 = 1")
+    hot = hot_keys(rows.groupBy("k").count().withColumnRenamed("count", "n"), "k", 5000, least=100)
+    assert [k for k, _ in hot] == [7]
+    got = spread_join(rows, unique, "k", "v", hot)
+    want = rows.join(unique, "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_recall_over_edited_copies(spark):
+    """Copies of texts with words exchanged, all at 0.8 or more: at least nine of ten pairs share a class."""
+    r = random.Random(21)
+    words = [f"v{i}" for i in range(20_000)]
+    h, rows, wanted = WideHasher(), [], []
+    for k in range(300):
+        a = [r.choice(words) for _ in range(r.randint(40, 400))]
+        b = list(a)
+        for _ in range(r.randint(1, max(1, len(a) // 45))):
+            b[r.randrange(len(b))] = r.choice(words)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        if near_dup.similarity(*(near_dup.shingles(h.ids(t)) for _, t in rows[-2:])) >= 0.8:
+            wanted.append(2 * k)
+    got = {x.doc_id: x.class_id for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(wanted) > 200 and np.mean([got[i + 1] == i for i in wanted]) > 0.99
+    assert all(got[2 * k + 1] in (2 * k, 2 * k + 1) and (2 * k in wanted or got[2 * k + 1] == 2 * k + 1) for k in range(300))
