@@ -30,13 +30,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies, and one of repeated rows; rows without an id stay.
+    """Keep one document of each class of near copies, and one of repeated rows; rows without an id or a text stay.
 
-    The join deals texts by doc_id already, so that repeated rows meet without another shuffle.
+    Rows that share an id but not the text are documents of their own: the decision goes by id and
+    text. The join deals rows by both already, so repeated rows meet without another shuffle.
     """
-    kept = near_dup.classes(docs).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.select(COLUMNS).union(docs.where(F.col("doc_id").isNull()).select(COLUMNS))
+    rows = docs.select(COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    kept = near_dup.classes(docs).where("kept").select("doc_id", "text_hash").distinct()
+    one = rows.join(kept, ["doc_id", "text_hash"], "left_semi").where("text IS NOT NULL").dropDuplicates(["doc_id", "text_hash"])
+    return one.select(COLUMNS).union(docs.where(F.col("doc_id").isNull() | F.col("text").isNull()).select(COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
