@@ -50,7 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Replace personal data; null texts stay null. One row in, one row out, no join."""
     spans = F.array_sort(F.concat("base", "added"))
     out = pii.find(docs, keep_text=True, carry=("lang", "source", "n_chars", F.col("text").isNull().alias("no_text")))
-    out = out.withColumn("clean", pii.redact(F.col("text"), spans)).withColumn("hit", F.size(spans) > 0)
+    out = pii.redacted(out.withColumn("spans", spans), "text", "spans", "clean").withColumn("hit", F.size("spans") > 0)
     text = F.when(~F.col("no_text"), F.col("clean"))
     return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("hit"), F.length("clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
