@@ -15,11 +15,11 @@ buckets never make all pairs:
    with the most equal registers, of either set, is verified on the texts; verified links give components.
 3. In buckets that still hold several components, what lies outside the largest is compared with
    the rest, other components only: no link between classes is lost to the choice of leaders, and a
-   bucket that is one group of copies is done. A bucket of any size does so in blocks of ``BLOCK``
-   rows, two of them a task, by the same registers and the same screen.
+   bucket that is one group of copies is done. Buckets beyond ``BLOCK`` rows do so in blocks of that
+   size, two of them a task, by longer signatures: those rule out what would be very many pairs.
 
-The screen rules out a pair whose equal registers lie four standard deviations below the threshold in
-both sets. Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least
+Screens rule out a pair whose equal registers lie five standard deviations below the threshold in
+both sets, so a pair at the threshold is lost to one with a probability below 1e-5, in buckets of every size. Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least
 ``threshold``.
 
 Rows are told apart by their id and a hash of their text, so rows that share an id are documents of
@@ -51,9 +51,9 @@ from keyloom.llm.tokens import WideHasher, mix, ngrams
 SHINGLE, REGISTERS, ROWS = 5, 120, 5
 BANDS = REGISTERS // ROWS
 #: Standard deviations below the threshold at which a pair is not verified.
-SCREEN = 4
-#: Buckets are compared in blocks of so many rows.
-BLOCK = 256
+SCREEN = 5
+#: Larger buckets are compared in blocks of so many rows, by signatures of so many registers.
+BLOCK, LONG = 128, 1024
 #: Up to so many ids, 8 bytes each, are sent to the texts; beyond, texts and ids are dealt out by id.
 SENT_IDS = 1_000_000
 
@@ -119,9 +119,10 @@ def plain_signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTE
     return out
 
 
-def least_equal(threshold: float, m: int = REGISTERS) -> int:
-    """Equal registers of ``m`` that a pair at ``threshold`` has but for SCREEN standard deviations."""
-    return int(m * (threshold - SCREEN * np.sqrt(threshold * (1 - threshold) / m)))
+def least_equal(threshold: float, m: int = REGISTERS, chance: float = 0.0) -> int:
+    """Equal registers of ``m`` that a pair at ``threshold`` has but for SCREEN standard deviations; unequal shingles agree by ``chance``."""
+    least = threshold - SCREEN * np.sqrt(threshold * (1 - threshold) / m)
+    return int(m * (least + (1 - least) * chance))
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -167,13 +168,14 @@ def _equal_registers() -> str:
     return f"CASE WHEN pa IS NULL AND pb IS NULL THEN {equal('ra', 'rb')} ELSE greatest({equal('ra', 'rb')}, {equal('coalesce(pa, ra)', 'coalesce(pb, rb)')}) END"
 
 
-def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """(node, s, n) of each of ``need`` (node, id, th): distinct shingles and how often they occur, packed.
-
-    Few documents are named to the texts and spare them a shuffle; repetitive texts become short.
-    """
+def _texts_of(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """(node, t) of each of ``need`` (node, id, th), repeated rows as often as they are; few spare the texts a shuffle."""
     few = need.limit(SENT_IDS + 1).count() <= SENT_IDS
-    found = texts.join(F.broadcast(need) if few else need, ["id", "th"]).select("node", "t")
+    return texts.join(F.broadcast(need) if few else need, ["id", "th"]).select("node", "t")
+
+
+def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """(node, s, n) of each of ``need``: distinct shingles and how often they occur, packed; repetitive texts become short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WideHasher(limit=100_000)
@@ -185,7 +187,7 @@ def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
         tidy()
 
     # repeated rows have equal sets: one of them, before the shuffle
-    return found.mapInArrow(run, "node long, s binary, n binary").groupBy("node").agg(F.first("s").alias("s"), F.first("n").alias("n"))
+    return _texts_of(texts, need).mapInArrow(run, "node long, s binary, n binary").groupBy("node").agg(F.first("s").alias("s"), F.first("n").alias("n"))
 
 
 def _hot_b(pairs: DataFrame) -> list[tuple]:
@@ -234,25 +236,50 @@ def _mixed(buckets: DataFrame, parts: DataFrame, hot: list[tuple]) -> DataFrame:
     return spread_join(placed, mixed, "key", "node", hot)
 
 
-def _cross(placed: DataFrame, sides: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) across components within a bucket that pass the screen.
+def _small(placed: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) across components in buckets of at most BLOCK rows that pass the screen."""
+    placed = placed.join(sides, "node")
+    x = placed.where("c <> most").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("registers").alias("ra"), F.col("plain").alias("pa"))
+    y = placed.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("most")).alias("outside"), F.col("registers").alias("rb"), F.col("plain").alias("pb"))
+    cross = x.join(y, (x["key"] == y["key"]) & (x["ca"] != y["cb"]) & (~y["outside"] | (x["a"] < y["b"])) & (F.expr(_equal_registers()) >= least_equal(threshold)))
+    return cross.select("a", "b")
+
+
+def _large(placed: DataFrame, texts: DataFrame, members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """The same for larger buckets, in blocks, with longer signatures.
 
     What lies outside the largest component meets the bucket block by block; a task holds two blocks
-    and returns only pairs that the registers of neither set rule out.
+    and returns only pairs that the long signatures do not both rule out. Their registers keep 8
+    bits, so unequal shingles agree in one of 256.
     """
-    rows = placed.join(sides, "node").withColumns({"nxb": F.ceil(F.col("nx") / block), "nyb": F.ceil(F.col("n") / block), "h": F.xxhash64("node")})
-    base = ["key", "node", "c", (F.col("c") != F.col("most")).alias("outside"), "registers", "plain"]
+    need = members.select("node", "id", "th").join(placed.select("node").distinct(), "node")
+
+    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WideHasher(limit=100_000)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
+                sets = [shingles(hasher.ids(t)) for t in part.column(1).to_pylist()]
+                got, plain = signatures(sets, LONG).astype(np.uint8), plain_signatures(sets, LONG)
+                plain = pa.array([None if r is None else r.astype(np.uint8).tobytes() for r in plain], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in got], pa.binary()), plain], names=["node", "long", "plain"])
+        tidy()
+
+    signed = _texts_of(texts, need).mapInArrow(long, "node long, long binary, plain binary").groupBy("node").agg(F.first("long").alias("long"), F.first("plain").alias("plain"))
+    rows = placed.join(cut(signed), "node").withColumns({"nxb": F.ceil(F.col("nx") / block), "nyb": F.ceil(F.col("n") / block), "h": F.xxhash64("node")})
+    base = ["key", "node", "c", (F.col("c") != F.col("most")).alias("outside"), "long", "plain"]
     x = rows.where("c <> most").select(*base, F.lit(0).alias("side"), F.expr("pmod(h, nxb)").alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nyb") - 1)).alias("yb"))
     y = rows.select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nxb") - 1)).alias("xb"), F.expr("pmod(h, nyb)").alias("yb"))
-    least = least_equal(threshold)
+    least = least_equal(threshold, LONG, 1 / 256)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         p, q = group[group.side == 0], group[group.side == 1]
         if not len(p) or not len(q):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        u, v = np.stack(p.registers.to_numpy()), np.stack(q.registers.to_numpy())
+        matrix = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, LONG)
+        u, v = matrix(p["long"]), matrix(q["long"])
         own, other = p.plain.notna().to_numpy(), q.plain.notna().to_numpy()
-        up, vp = (np.stack(z.plain.where(z.plain.notna(), z.registers).to_numpy()) for z in (p, q))
+        up, vp = (matrix(z["plain"].where(z["plain"].notna(), z["long"])) for z in (p, q))
         cp, cq, ip, iq, out = p.c.to_numpy(), q.c.to_numpy(), p.node.to_numpy(), q.node.to_numpy(), q.outside.to_numpy()
         a, b = [], []
         for i in range(len(p)):
@@ -288,7 +315,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     best = cut(_scored(pairs, sides, threshold).groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")))
     found = cut(verify(texts, members, best, threshold).select("a", "b"))
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = _cross(_mixed(buckets, components(found), hot), sides, threshold)
+    placed = cut(_mixed(buckets, components(found), hot))
+    cross = _small(placed.where(F.col("n") <= BLOCK), sides, threshold).union(_large(placed.where(F.col("n") > BLOCK), texts, members, threshold))
     cross = cut(ordered(cross).distinct().join(ordered(best), ["a", "b"], "left_anti"))
     second = verify(texts, members, cross, threshold).select("a", "b")
     parts = components(found.union(second))

@@ -113,18 +113,23 @@ def test_a_text_and_itself_with_its_half_repeated(spark):
     assert [x.class_id for x in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1, 1]
 
 
-@pytest.mark.parametrize("block", [16, 1000])  # buckets on each side of the block's size
-def test_blocks_find_every_pair(spark, block):
+@pytest.mark.parametrize("block", [None, 16, 1000])  # a join, and buckets on each side of the block's size
+def test_buckets_of_every_size_give_the_same_pairs(spark, block):
     r = random.Random(12)
     words = [f"p{i}" for i in range(5000)]
     pairs = [repeated(r, words, 150, 75, 4) for _ in range(80)]
-    h = WideHasher()
-    sets = [near_dup.shingles(h.ids(p[j])) for p in pairs for j in range(2)]
-    signed, plain = near_dup.signatures(sets).view(np.int32), near_dup.plain_signatures(sets)
-    sides = spark.createDataFrame([(i, s.tolist(), None if p is None else p.view(np.int32).tolist()) for i, (s, p) in enumerate(zip(signed, plain))], "node long, registers array<int>, plain array<int>")
-    placed = spark.createDataFrame([(1, i, i, 0, len(sets), len(sets) - 1) for i in range(len(sets))], "key long, node long, c long, most long, n long, nx long")
-    got = {tuple(sorted(x)) for x in near_dup._cross(placed, sides, 0.8, block).collect()}
-    assert got == {(2 * k, 2 * k + 1) for k in range(80)}
+    every = [p[j] for p in pairs for j in range(2)]
+    placed = spark.createDataFrame([(1, i, i, 0, len(every), len(every) - 1) for i in range(len(every))], "key long, node long, c long, most long, n long, nx long")
+    if block:
+        texts = spark.createDataFrame([(i, i, t) for i, t in enumerate(every)], "id long, th long, t string")
+        found = near_dup._large(placed, texts, texts.selectExpr("id AS node", "id", "th"), 0.8, block)
+    else:
+        h = WideHasher()
+        sets = [near_dup.shingles(h.ids(t)) for t in every]
+        signed, plain = near_dup.signatures(sets).view(np.int32), near_dup.plain_signatures(sets)
+        sides = spark.createDataFrame([(i, s.tolist(), None if p is None else p.view(np.int32).tolist()) for i, (s, p) in enumerate(zip(signed, plain))], "node long, registers array<int>, plain array<int>")
+        found = near_dup._small(placed, sides, 0.8)
+    assert {tuple(sorted(x)) for x in found.collect()} == {(2 * k, 2 * k + 1) for k in range(80)}
 
 
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
