@@ -18,8 +18,9 @@ buckets never make all pairs:
    bucket that is one group of copies is done. Buckets beyond ``BLOCK`` rows do so in blocks of that
    size, two of them a task, by longer signatures: those rule out what would be very many pairs.
 
-Screens rule out a pair whose equal registers lie five standard deviations below the threshold in
-both sets, so a pair at the threshold is lost to one with a probability below 1e-5, in buckets of every size. Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least
+Screens rule out a pair whose equal registers lie four standard deviations below the threshold in
+both sets, in buckets of every size; a pair at the very threshold is lost to one about as rarely as to the bands
+(1e-4), one above it far more rarely. Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least
 ``threshold``.
 
 Rows are told apart by their id and a hash of their text, so rows that share an id are documents of
@@ -51,7 +52,7 @@ from keyloom.llm.tokens import WideHasher, mix, ngrams
 SHINGLE, REGISTERS, ROWS = 5, 120, 5
 BANDS = REGISTERS // ROWS
 #: Standard deviations below the threshold at which a pair is not verified.
-SCREEN = 5
+SCREEN = 4
 #: Larger buckets are compared in blocks of so many rows, by signatures of so many registers.
 BLOCK, LONG = 128, 1024
 #: Up to so many ids, 8 bytes each, are sent to the texts; beyond, texts and ids are dealt out by id.
