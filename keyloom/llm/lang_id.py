@@ -1,15 +1,21 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton holds all substrings of a labelled sample. A text is parsed
-into phrases, each the longest match in the automaton that starts where the last phrase ended. The
-language that needs the fewest phrases for each symbol wins; ties go to the first name.
+into phrases, each the longest match in the automaton that starts where the last phrase ended; a letter
+that the sample doesn't have is a phrase of its own. The language that needs the fewest phrases for each
+symbol wins; ties go to the first name.
 
-Texts are folded to lower-case letters, with one blank for each run of anything else. To parse many
-texts at once they are cut into segments of ``segment`` symbols, and a phrase ends with its segment:
-this adds the same to every language. Every symbol of every text is parsed.
+Texts are folded to lower-case letters, with one blank for each run of anything else. Every letter of
+every script is a symbol of its own. Texts are parsed whole: many of them advance side by side, one symbol a
+step, and the last few, which are long, one by one.
+
+The sample is ``per_language`` whole labelled texts of each language, chosen by hash; only of a text with more than
+``longest`` symbols no more than these are used, so the automata are bounded. As many others of each
+language calibrate the score: a softmax of the logarithms of phrases a symbol, times a factor that grows with a power
+of the text's length. Both are chosen by the likelihood of the true language.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0. Equal texts get
-equal results. An empty table gives an empty result. Without labelled texts all is ``und``.
+equal results, repeated rows too. An empty table gives an empty result. Without labelled texts all is ``und``.
 """
 
 from __future__ import annotations
@@ -25,17 +31,23 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import held, labelled_sample, tidy
 
-SYMBOLS = 48
-OTHER = SYMBOLS - 1
+#: Symbols with a column of the tables: the most frequent letters. Arcs of all others are in a sorted list.
+DENSE = 56
+#: A letter that no sample has.
+UNKNOWN = (1 << 21) - 1
+#: Texts that advance together, until so few are left that each is parsed on its own.
+FEW = 24
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """The bounded sample: automata are built from it where they are used."""
+    """The bounded sample, as code points by language: automata are built from it where they are used."""
 
     languages: tuple[str, ...]
     alphabet: str
     samples: tuple[bytes, ...]
+    sharpness: float = 8.0
+    power: float = 0.0
 
 
 def _letters(text: str) -> np.ndarray:
@@ -43,19 +55,19 @@ def _letters(text: str) -> np.ndarray:
 
 
 class Folder:
-    """Code points to symbols: 0 blank, 1.. the alphabet's letters, OTHER any other letter."""
+    """Code points to symbols: 0 blank, 1.. the alphabet's letters in its order, UNKNOWN any other letter."""
 
     def __init__(self, alphabet: str):
         self.known = {c: i + 1 for i, c in enumerate(alphabet)}
-        self.table = np.full(0x110000, 255, dtype=np.uint8)
+        self.table = np.full(0x110000, -1, dtype=np.int32)
 
     def fold(self, text: str) -> np.ndarray:
         codes = _letters(text)
         got = self.table[codes]
-        if (got == 255).any():  # code points met for the first time
-            for c in np.unique(codes[got == 255]):
+        if (got < 0).any():  # code points met for the first time
+            for c in np.unique(codes[got < 0]):
                 ch = chr(c)
-                self.table[c] = self.known.get(ch, OTHER if ch.isalpha() else 0)
+                self.table[c] = self.known.get(ch, UNKNOWN if ch.isalpha() else 0)
             got = self.table[codes]
         blank = got == 0
         keep = ~blank
@@ -64,8 +76,8 @@ class Folder:
         return got[1:] if len(got) and got[0] == 0 else got
 
 
-def suffix_automaton(symbols: bytes) -> np.ndarray:
-    """Transitions of the suffix automaton, one row of SYMBOLS targets for each state; -1: none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Arcs of the suffix automaton, one dictionary for each state."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -91,91 +103,154 @@ def suffix_automaton(symbols: bytes) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), SYMBOLS), -1, dtype=np.int32)
-    for i, arcs in enumerate(nxt):
-        for c, j in arcs.items():
-            table[i, c] = j
-    return table
-
-
-def train(rows: DataFrame, per_language: int = 40, sample_symbols: int = 30_000, lang: str = "lang", text: str = "text") -> LanguageModel:
-    """From at most ``per_language`` labelled texts of each language, ``sample_symbols`` in all."""
-    found: dict[str, list[str]] = {}
-    for name, t in labelled_sample(rows, F.col(lang), per_language, text=text):
-        found.setdefault(str(name), []).append(t)
-    counts: Counter[str] = Counter()
-    for texts in found.values():
-        for t in texts:
-            counts.update(c for c in t.lower() if c.isalpha())
-    alphabet = "".join(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2])
-    folder, names, samples = Folder(alphabet), [], []
-    for name in sorted(found):
-        symbols = b"\0".join(folder.fold(t).tobytes() for t in found[name])[:sample_symbols]
-        if symbols:
-            names.append(name)
-            samples.append(symbols)
-    return LanguageModel(tuple(names), alphabet, tuple(samples))
+    return nxt
 
 
 class CrossParser:
-    def __init__(self, model: LanguageModel, segment: int = 512, block: int = 4096):
-        self.model, self.segment, self.block = model, segment, block
+    def __init__(self, model: LanguageModel):
+        self.model = model
         self.folder = Folder(model.alphabet)
-        tables = [suffix_automaton(s) for s in model.samples]
-        starts = np.cumsum([0] + [len(t) for t in tables])
-        self.root = starts[:-1].astype(np.int32)
-        # one table for all languages; a missing transition is -1, and the last state has none: there a phrase starts
-        none = np.full((1, SYMBOLS), -1, dtype=np.int32)
-        self.next = np.concatenate([*(np.where(t >= 0, t + s, -1).astype(np.int32) for t, s in zip(tables, starts)), none])
-        self.new = len(self.next) - 1
-
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        arcs: list[dict[int, int]] = []
+        root = []
+        for s in model.samples:
+            base = len(arcs)
+            root.append(base)
+            arcs += [{c: t + base for c, t in a.items()} for a in suffix_automaton(np.frombuffer(s, np.int32).tolist())]
+        self.root = np.array(root, dtype=np.int64)
+        # one table for all languages; a missing arc is -1, and the last state has none: there a phrase starts
+        self.new = len(arcs)
+        self.flat = np.full((len(arcs) + 1) * DENSE, -1, dtype=np.int32)
+        rare = []
+        for i, a in enumerate(arcs):
+            for c, t in a.items():
+                if c < DENSE:
+                    self.flat[i * DENSE + c] = t
+                else:
+                    rare.append((i << 21 | c, t))
+        rare.sort()
+        self.rare_keys, self.rare_next = np.array([k for k, _ in rare], dtype=np.int64), np.array([t for _, t in rare], dtype=np.int64)
+        self.rare = dict(rare)
+
+    def _arc(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        got = self.flat.take(state * DENSE + np.minimum(symbol, DENSE - 1)).astype(np.int64)
+        odd = np.nonzero(symbol >= DENSE)
+        if len(odd[0]):
+            key = state[odd] << 21 | symbol[odd]
+            if len(self.rare_keys):
+                at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+                got[odd] = np.where(self.rare_keys[at] == key, self.rare_next[at], -1)
+            else:
+                got[odd] = -1
+        return got
+
+    def _rest(self, symbols: list[int], state: int, root: int) -> int:
+        """Phrases that begin in ``symbols``, read from ``state``."""
+        flat, rare, new, n = self._view, self.rare, self.new, 0
+        for c in symbols:
+            state = flat[state * DENSE + c] if c < DENSE else rare.get(state << 21 | c, -1)
+            if state < 0:
+                n += 1
+                state = flat[root * DENSE + c] if c < DENSE else rare.get(root << 21 | c, -1)
+                if state < 0:
+                    state = new
+        return n
+
+    def phrases(self, texts: list[np.ndarray], few: int = FEW) -> np.ndarray:
         """Phrases of each text (rows) by language (columns)."""
-        n, k, size = len(texts), len(self.root), self.segment
-        parts = [(-(-len(t) // size)) for t in texts]
-        owner = np.repeat(np.arange(n), parts)
+        n, k = len(texts), len(self.root)
         total = np.zeros((n, k), dtype=np.int64)
-        pieces = [t[i : i + size] for t in texts for i in range(0, len(t), size)]
-        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        flat = self.next.reshape(-1)
-        for at in range(0, len(order), self.block):
-            own = order[at : at + self.block]
-            lengths = np.array([len(pieces[i]) for i in own])
-            grid = np.zeros((size, len(own)), dtype=np.int32)
-            for j, i in enumerate(own):
-                grid[: len(pieces[i]), j] = pieces[i]
-            active = np.searchsorted(-lengths, -np.arange(size), side="left")  # pieces longer than the step's index
-            count = np.zeros((k, len(own)), dtype=np.int32)
-            state = np.full((k, len(own)), self.new, dtype=np.int32)
-            base = self.root[:, None].astype(np.int64) * SYMBOLS
-            for step in range(int(lengths[0])):
-                m = active[step]
-                c = grid[step, :m]
-                now = state[:, :m]
-                got = flat.take(now.astype(np.int64) * SYMBOLS + c)
-                miss = got < 0
-                if miss.any():
-                    count[:, :m] += miss
-                    again = flat.take((base + c)[miss])
-                    got[miss] = np.where(again < 0, self.new, again)
-                state[:, :m] = got
-            np.add.at(total, owner[own], count.T)
+        order = sorted(range(n), key=lambda i: -len(texts[i]))
+        while order and not len(texts[order[-1]]):
+            order.pop()
+        if not order:
+            return total
+        lengths = np.array([len(texts[i]) for i in order])
+        every = np.concatenate([texts[i] for i in order]).astype(np.int64)
+        start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        count, state = np.zeros((k, len(order)), dtype=np.int64), np.full((k, len(order)), self.new, dtype=np.int64)
+        upto = int(lengths[few]) if len(order) > few else 0  # so far more than ``few`` texts go on
+        active = np.searchsorted(-lengths, -np.arange(upto), side="left")  # texts longer than the step's index
+        root = np.broadcast_to(self.root[:, None], state.shape)
+        for step in range(upto):
+            m = active[step]
+            c = np.broadcast_to(every[start[:m] + step], (k, m))
+            got = self._arc(state[:, :m], c)
+            miss = got < 0
+            if miss.any():
+                count[:, :m] += miss
+                again = self._arc(root[:, :m][miss], c[miss])
+                got[miss] = np.where(again < 0, self.new, again)
+            state[:, :m] = got
+        self._view = memoryview(self.flat)
+        for j in range(min(few, len(order))):
+            if lengths[j] > upto:
+                left = every[start[j] + upto : start[j] + lengths[j]].tolist()
+                for i in range(k):
+                    count[i, j] += self._rest(left, int(state[i, j]), int(self.root[i]))
+        total[order] = count.T
         return total
 
-    def predict(self, texts: list[str | None], sharpness: float = 8.0) -> tuple[list[str], list[float]]:
-        folded = [self.folder.fold(t) if t else np.zeros(0, np.uint8) for t in texts]
+    def rates(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Which texts have letters, their phrases a symbol by language, and their lengths."""
+        folded = [self.folder.fold(t) if t else np.zeros(0, np.int32) for t in texts]
         found = [i for i, f in enumerate(folded) if f.any()]
+        size = np.array([len(folded[i]) for i in found], dtype=np.float64)
+        return found, self.phrases([folded[i] for i in found]) / size[:, None], size
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if not found or not len(self.root):
+        if not len(self.root):
             return names, scores
-        rate = self.phrases([folded[i] for i in found]) / np.array([len(folded[i]) for i in found])[:, None]
-        best = rate.argmin(axis=1)
-        odds = (rate.min(axis=1)[:, None] / rate) ** sharpness
-        for i, b, o in zip(found, best, 1.0 / odds.sum(axis=1)):
-            names[i], scores[i] = self.model.languages[b], float(o)
+        found, rate, size = self.rates(texts)
+        if found:
+            p = shares(rate, size, self.model.sharpness, self.model.power)
+            for i, b, o in zip(found, rate.argmin(axis=1), p.max(axis=1)):
+                names[i], scores[i] = self.model.languages[b], float(o)
         return names, scores
 
 
+def shares(rate: np.ndarray, size: np.ndarray, sharpness: float, power: float) -> np.ndarray:
+    """Probability of each language (columns) from phrases a symbol and lengths."""
+    z = -np.log(rate) * (sharpness * size**power)[:, None]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def calibrated(model: LanguageModel, held: list[tuple[str, str]]) -> LanguageModel:
+    """Sharpness and power with the highest likelihood of the languages of ``held`` (language, text)."""
+    rows = [(model.languages.index(name), t) for name, t in held if name in model.languages]
+    parser = CrossParser(model)
+    # pieces of texts stand for short ones, where the languages are hard to tell
+    texts = [x for y, t in rows for x in ((y, t), (y, t[:12]), (y, t[: max(1, len(t) // 2)]), (y, t[40:70]))]
+    found, rate, size = parser.rates([t for _, t in texts])
+    if not found:
+        return model
+    y = np.array([texts[i][0] for i in found])
+    best = max((float(np.log(np.maximum(shares(rate, size, a, b)[np.arange(len(y)), y], 1e-6)).mean()), a, b) for a in np.geomspace(0.2, 60, 30) for b in (0.0, 0.25, 0.5, 0.75, 1.0))
+    return LanguageModel(model.languages, model.alphabet, model.samples, float(best[1]), float(best[2]))
+
+
+def train(rows: DataFrame, per_language: int = 20, longest: int = 200_000, lang: str = "lang", text: str = "text") -> LanguageModel:
+    """From at most ``per_language`` labelled texts of each language; as many calibrate."""
+    found: dict[str, list[str]] = {}
+    for name, t in labelled_sample(rows, F.col(lang), 2 * per_language, text=text):
+        found.setdefault(str(name), []).append(t)
+    fitted = {name: texts[: max(1, min(per_language, (len(texts) + 1) // 2))] for name, texts in found.items()}
+    counts: Counter[str] = Counter()
+    for texts in fitted.values():
+        for t in texts:
+            counts.update(c for c in t.lower() if c.isalpha())
+    alphabet = "".join(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])))
+    folder, names, samples = Folder(alphabet), [], []
+    for name in sorted(fitted):
+        parts = [x for t in fitted[name] for x in (folder.fold(t)[:longest], np.zeros(1, np.int32))]
+        if any(p.any() for p in parts):
+            names.append(name)
+            samples.append(np.concatenate(parts).astype(np.int32).tobytes())
+    model = LanguageModel(tuple(names), alphabet, tuple(samples))
+    return calibrated(model, [(name, t) for name, texts in found.items() for t in texts[len(fitted[name]) :]]) if names else model
+
+
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``df`` with the predicted language and its score, from the whole text alone.
 
@@ -191,8 +266,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_out:
         found = shared.value
         parser = held(("languages", hash(found)), lambda: CrossParser(found))
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 4000):
+                part = batch.slice(start, 4000)
                 langs, scores = parser.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(len(names))), "l", "s"])
         tidy()

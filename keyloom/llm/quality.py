@@ -2,8 +2,8 @@
 
 Random indexing: every word has a fixed sparse random index vector; a word's vector is the sum of
 the index vectors of its neighbours (``WINDOW`` on each side) over the whole corpus. Words are
-hashed to ``1 << BITS`` rows, so each task holds one small matrix whatever the corpus is, and the
-matrices are added up by row. A document is the mean of its words' unit vectors, of their squares
+hashed to the rows from 1 of a table of ``1 << BITS``; row 0 is no word's and stands between texts. So each task
+holds one matrix of bounded size whatever the corpus is, and the matrices are added up by row. A document is the mean of its words' unit vectors, of their squares
 and of the products of neighbours, and its length. A network with one hidden layer is trained in
 numpy; its logit is divided by a temperature, and shifted to the labels' own shares, both fitted on
 labelled texts that were held back.
@@ -11,12 +11,13 @@ labelled texts that were held back.
 Words keep their case, and signs are words too, because shouting and debris matter for quality.
 
 Defined results: null and empty texts pool to the zero vector and get the network's score of it.
-Equal texts get equal scores. An empty table gives an empty result; without labels of both kinds
-every score is 0.
+Texts are pooled whole, whatever their length. Equal texts get equal scores, repeated rows too. Columns besides id and text are not read,
+whatever their names. An empty table gives an empty result; without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,21 +29,32 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import labelled_sample
 from keyloom.llm.tokens import WordHasher
 
-BITS, DIM, ONES, WINDOW, HIDDEN = 12, 48, 6, 2, 24
+BITS, DIM, ONES, WINDOW, HIDDEN = 16, 48, 6, 2, 24
 PATTERN = r"\w+|[^\w\s]+"
 
 
 def index_vectors(seed: int = 11) -> np.ndarray:
-    """Sparse ternary vectors, one for each hashed word: ONES entries of +1 or -1."""
+    """Sparse ternary vectors, one for each hashed word: ONES entries of +1 or -1; row 0 is no word's and all zero."""
     rng = np.random.default_rng(seed)
     out = np.zeros((1 << BITS, DIM), np.float32)
-    for row in out:
-        row[rng.choice(DIM, ONES, replace=False)] = rng.choice([-1, 1], ONES)
+    at = np.argsort(rng.random((len(out), DIM)), axis=1)[:, :ONES]
+    np.put_along_axis(out, at, rng.choice(np.array([-1, 1], np.float32), at.shape), axis=1)
+    out[0] = 0
     return out
 
 
-def hasher() -> WordHasher:
-    return WordHasher(PATTERN, BITS, lower=False)
+class RowHasher(WordHasher):
+    """Rows 1 to 2**BITS - 1."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        got = self[word] = 1 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % ((1 << BITS) - 1)
+        return got
+
+
+def hasher() -> RowHasher:
+    return RowHasher(PATTERN, BITS, lower=False)
 
 
 def _add_contexts(total: np.ndarray, ids: np.ndarray, index: np.ndarray) -> None:
@@ -67,7 +79,7 @@ def word_vectors(docs: DataFrame, text: str = "text", block: int = 1 << 17) -> n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, index, total = hasher(), index_vectors(), np.zeros((1 << BITS, DIM))
-        gap = np.zeros(WINDOW, dtype=np.int64)  # word 0 between texts; its row is not used
+        gap = np.zeros(WINDOW, dtype=np.int64)  # the row of no word, between texts
         for batch in batches:
             held, n = [], 0
             for t in batch.column(0).to_pylist():
@@ -79,16 +91,16 @@ def word_vectors(docs: DataFrame, text: str = "text", block: int = 1 << 17) -> n
                     held, n = [], 0
             if held:
                 _add_contexts(total, np.concatenate(held), index)
-        rows = np.nonzero(total.any(axis=1))[0]
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(list(total[rows]), pa.list_(pa.float64()))], names=["w", "v"])
+        rows = np.nonzero(total[1:].any(axis=1))[0] + 1
+        for part in np.array_split(rows, max(1, len(rows) // 8192)) if len(rows) else ():
+            flat = pa.array(total[part].astype(np.float32).reshape(-1))  # sums of ones: exact up to 2**24 in a task
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, DIM, dtype=np.int32)), flat)], names=["w", "v"])
 
-    parts = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, "w int, v array<double>")
-    summed = parts.groupBy("w").agg(*(F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(DIM))).collect()
+    parts = docs.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, "w int, v array<float>")
+    summed = parts.groupBy("w").agg(*(F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(DIM))).toArrow()
     out = np.zeros((1 << BITS, DIM))
-    for r in summed:
-        out[r[0]] = r[1:]
-    out[0] = 0
+    if summed.num_rows:
+        out[summed.column(0).to_numpy()] = np.stack([summed.column(j + 1).to_numpy() for j in range(DIM)], axis=1)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0).astype(np.float32)
 
@@ -200,7 +212,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: Column, per_label: int =
 
 
 def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, score) of each whole text. The model's size is fixed by its layers: under 1 MB."""
+    """(id_col, score) of each whole text. The model's size is fixed by its layers: 13 MB."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 

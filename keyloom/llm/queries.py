@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, decontaminate, html_text, lang_id, near_dup, near_vectors, pii, quality, sharding, toxicity
-from keyloom.llm.common import crc_mod, table
+from keyloom.llm.common import crc_mod, table, thinned
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,34 +68,30 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, name: str, m: int, held_out: int, per_label: int) -> tuple[DataFrame, dict[int, int]]:
-    """Labelled texts outside the held-out fold to choose a sample from, and how many labels there are of each kind.
+def _labelled(docs: DataFrame, labels: DataFrame, name: str, m: int, held_out: int, about: int) -> tuple[DataFrame, dict[int, int]]:
+    """Labelled texts outside the held-out fold to choose a sample from, and how many ids have labels of each kind.
 
-    Labels are thinned first, by a hash of the id, to about four times ``per_label`` of each of the two
-    kinds: so few that they are sent to the texts, and no text is shuffled.
+    Labels are thinned first, by a hash of the id, to ``about`` distinct ids of each of the two
+    kinds: so few that they are sent to the texts, and no text is shuffled. Only the sample depends on that.
     """
     rows = labels.select("doc_id", F.col(name).cast("int").alias(name)).where(F.col("doc_id").isNotNull() & F.col(name).isin(0, 1) & (crc_mod("doc_id", m) != held_out))
-    counts = {r[name]: r["n"] for r in rows.groupBy(name).agg(F.count("*").alias("n")).collect()}
-    keep = F.lit(False)
-    for value, n in counts.items():
-        share = min(1.0, 4 * per_label / n)
-        top = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-        keep = keep | ((F.col(name) == value) & (F.xxhash64("doc_id") <= F.lit(top)))
-    return docs.select("doc_id", "text").join(F.broadcast(rows.where(keep)), "doc_id"), counts
+    counts = {r[name]: r["n"] for r in rows.groupBy(name).agg(F.approx_count_distinct("doc_id", 0.01).alias("n")).collect()}
+    few = rows.where(thinned(F.col(name), F.xxhash64("doc_id"), counts, about)).distinct()
+    return docs.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id"), counts
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; labels learnt from outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
-    rows, _ = _labelled(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0, 1_000)
-    model = toxicity.train(rows, F.col("toxic"), 1_000)
+    rows, _ = _labelled(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0, 6_000)
+    model = toxicity.train(rows, F.col("toxic"), 300)
     return toxicity.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document; labels learnt from outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
-    rows, counts = _labelled(docs, table(spark, sf_dir, "labels"), "quality", 4, 2, 2_500)
+    rows, counts = _labelled(docs, table(spark, sf_dir, "labels"), "quality", 4, 2, 10_000)
     model = quality.train(docs, rows, F.col("quality"), 2_500, counts=counts)
     return quality.score(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -5,11 +5,12 @@ first letters, so that rare forms share what is learnt of their stem; filters on
 text; each filter's largest response enters a logistic layer. Gradients pass only through the
 windows that won the maximum. Decision thresholds are calibrated for each language group on
 labelled texts that were held back from fitting, and the score is shifted so that the group's
-threshold lies at 0.5. The group is guessed from frequent function words of the text itself.
+threshold lies at 0.5. The group is told from the text itself, by the words of each language that the
+labelled texts hold; a text few of whose words they hold is of no group.
 
-Defined results: null and empty texts have no windows and get the score of the bias alone. Equal
-texts get equal scores. An empty table gives an empty result; without labels of both kinds every
-score is 0.
+Defined results: null and empty texts have no windows and get the score of the bias alone. Texts are read whole,
+whatever their length. Equal texts get equal scores, repeated rows too. Columns besides id and text are not read for scores, whatever
+their names. An empty table gives an empty result; without labels of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from keyloom.llm.common import labelled_sample
 from keyloom.llm.tokens import WordHasher
@@ -28,15 +30,6 @@ from keyloom.llm.tokens import WordHasher
 BITS, DIM, FILTERS, WIDTHS = 16, 12, 8, (1, 2, 3)
 PREFIX = 4
 
-#: Frequent function words by which a text's language group is guessed.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that it for was on are as with be at this by not which",
-    "fr": "le la les de des du et un une est que qui dans pour pas sur avec par au en",
-    "de": "der die das und ist nicht ein eine zu den mit von auf für im dem sich auch es als",
-    "es": "el la los las de que y en un una es por con para no se del su al lo",
-}
-
-
 @dataclass
 class ToxicityModel:
     embedding: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, DIM), np.float32))
@@ -46,6 +39,7 @@ class ToxicityModel:
     out_bias: float = -30.0
     thresholds: dict[str, float] = field(default_factory=dict)
     steepness: float = 1.0
+    groups: "LanguageGroups | None" = None
 
 
 class PairHasher(WordHasher):
@@ -71,17 +65,30 @@ def _embed(model: "ToxicityModel", ids: np.ndarray) -> np.ndarray:
     return model.embedding[ids[:, 0]] + model.embedding[ids[:, 1]]
 
 
-class LanguageGroup:
-    def __init__(self, h: WordHasher):
-        self.names = sorted(FUNCTION_WORDS)
-        self.table = np.zeros((1 << BITS, len(self.names)), dtype=np.int8)
-        for j, name in enumerate(self.names):
-            for w in FUNCTION_WORDS[name].split():
-                self.table[h[w] >> BITS, j] = 1
+class LanguageGroups:
+    """Naive Bayes over hashed words: in how many labelled texts of each language a word is found."""
+
+    #: Least share of a text's words that labelled texts hold, to tell its language.
+    KNOWN = 0.5
+
+    def __init__(self, rows: list[tuple[str, np.ndarray]]):
+        self.names = sorted({name for name, _ in rows})
+        seen = np.zeros((1 << BITS, len(self.names)), dtype=np.float64)
+        texts = np.zeros(len(self.names))
+        for name, ids in rows:
+            j = self.names.index(name)
+            seen[np.unique(ids[:, 0]), j] += 1
+            texts[j] += 1
+        self.known = seen.sum(axis=1) > 1  # in more than one text
+        self.log = np.log((seen + 0.1) / (texts + 1)).astype(np.float32)
 
     def guess(self, ids: np.ndarray) -> str:
-        votes = self.table[ids[:, 0]].sum(axis=0, dtype=np.int64) if len(ids) else np.zeros(1)
-        return self.names[int(votes.argmax())] if votes.max() > 0 else "none"
+        if not len(ids) or not self.names:
+            return "none"
+        words = ids[:, 0][self.known[ids[:, 0]]]
+        if len(words) < self.KNOWN * len(ids):
+            return "none"
+        return self.names[int(self.log[words].sum(axis=0, dtype=np.float64).argmax())]
 
 
 def _windows(model: ToxicityModel, x: np.ndarray, width: int) -> np.ndarray:
@@ -96,7 +103,7 @@ def _windows(model: ToxicityModel, x: np.ndarray, width: int) -> np.ndarray:
 
 def _pool(model: ToxicityModel, ids: np.ndarray, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """For each filter the largest response (at least 0) and where it was (-1: nowhere)."""
-    best = np.zeros((len(WIDTHS), FILTERS), np.float32)
+    best = np.zeros((len(WIDTHS), FILTERS), model.embedding.dtype)
     where = np.full((len(WIDTHS), FILTERS), -1)
     for start in range(0, len(ids), block):  # blocks overlap by the widest filter, so all windows are seen
         x = _embed(model, ids[start : start + block + max(WIDTHS) - 1])
@@ -129,6 +136,29 @@ def _contrast(samples: list[tuple[int, np.ndarray]], certain: float) -> np.ndarr
     return np.sign(z) * np.maximum(np.abs(z) - certain, 0)
 
 
+def gradients(model: ToxicityModel, samples: list[tuple[int, np.ndarray]], weight: np.ndarray) -> tuple:
+    """Of the weighted logistic loss: by output, its bias, filters and their biases by width, and rows of the embedding."""
+    grad_out, grad_bias = np.zeros_like(model.out), 0.0
+    grads, grad_b = {w: np.zeros_like(model.filters[w]) for w in WIDTHS}, {w: np.zeros_like(model.bias[w]) for w in WIDTHS}
+    rows, values = [np.zeros(0, np.int64)], [np.zeros((0, DIM), model.embedding.dtype)]
+    for (y, ids), own in zip(samples, weight):
+        best, where = _pool(model, ids)
+        d = float(1 / (1 + np.exp(-np.clip(best @ model.out + model.out_bias, -30, 30))) - y) * own
+        grad_out += d * best
+        grad_bias += d
+        for j in np.nonzero(where >= 0)[0]:  # only the windows that won
+            w, f, g, at = WIDTHS[j // FILTERS], j % FILTERS, d * model.out[j], where[j]
+            win = ids[at : at + w]
+            grads[w][:, :, f] += g * _embed(model, win)
+            grad_b[w][f] += g
+            rows += [win[:, 0], win[:, 1]]
+            values += [g * model.filters[w][:, :, f]] * 2
+    used, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+    g_rows = np.zeros((len(used), DIM), model.embedding.dtype)
+    np.add.at(g_rows, inverse, np.concatenate(values))
+    return grad_out, grad_bias, grads, grad_b, used, g_rows
+
+
 def fit(samples: list[tuple[int, np.ndarray]], epochs: int = 6, rate: float = 0.01, batch: int = 32, decay: float = 0.02, certain: float = 3.5, seed: int = 7) -> ToxicityModel:
     """Adam on the logistic loss, classes weighted to equal sums.
 
@@ -158,24 +188,7 @@ def fit(samples: list[tuple[int, np.ndarray]], epochs: int = 6, rate: float = 0.
     for _ in range(epochs):
         for idx in np.array_split(rng.permutation(len(samples)), max(1, len(samples) // batch)):
             step += 1
-            grad_out, grad_bias = np.zeros_like(model.out), 0.0
-            grads = {w: np.zeros_like(model.filters[w]) for w in WIDTHS}
-            grad_b = {w: np.zeros_like(model.bias[w]) for w in WIDTHS}
-            rows, values = [], []
-            for i in idx:
-                ids = samples[i][1]
-                best, where = _pool(model, ids)
-                z = best @ model.out + model.out_bias
-                d = float((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i]) * weight[i]) / len(idx)
-                grad_out += d * best
-                grad_bias += d
-                for j in np.nonzero(where >= 0)[0]:
-                    w, f, g, at = WIDTHS[j // FILTERS], j % FILTERS, d * model.out[j], where[j]
-                    win = ids[at : at + w]
-                    grads[w][:, :, f] += g * _embed(model, win)
-                    grad_b[w][f] += g
-                    rows += [win[:, 0], win[:, 1]]
-                    values += [g * model.filters[w][:, :, f]] * 2
+            grad_out, grad_bias, grads, grad_b, used, g_rows = gradients(model, [samples[i] for i in idx], weight[idx] / len(idx))
 
             def adam(key: str, x: np.ndarray, g: np.ndarray, at=slice(None), t: int = step) -> None:
                 m, v = state[key]
@@ -188,11 +201,8 @@ def fit(samples: list[tuple[int, np.ndarray]], epochs: int = 6, rate: float = 0.
             for w in WIDTHS:
                 adam(f"f{w}", model.filters[w], grads[w])
                 adam(f"b{w}", model.bias[w], grad_b[w])
-            if rows:
-                used, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-                g = np.zeros((len(used), DIM), np.float32)
-                np.add.at(g, inverse, np.concatenate(values))
-                adam("e", model.embedding, g * learns[used], used)
+            if len(used):
+                adam("e", model.embedding, g_rows * learns[used], used)
     return model
 
 
@@ -207,28 +217,33 @@ def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[i] + z[i + 1]) / 2) if i + 1 < len(z) else float(z[i] - 1)
 
 
-def train(rows: DataFrame, label: Column, per_label: int = 1_000, least: int = 25, text: str = "text") -> ToxicityModel:
-    """From at most ``per_label`` labelled texts of each kind; one in four only calibrates.
+def train(rows: DataFrame, label: Column, per_label: int = 300, least: int = 12, text: str = "text", lang: str | None = "lang") -> ToxicityModel:
+    """From at most ``per_label`` labelled texts of each kind and language; one in four only calibrates.
 
-    A language group has a threshold of its own if it has ``least`` held-back texts of each kind.
+    A language has a threshold of its own if it has ``least`` held-back texts of each kind. Languages
+    come from the labelled rows' column ``lang``; scores need the text alone.
     """
     h = hasher()
-    group = LanguageGroup(h)
-    found: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for y, t in labelled_sample(rows, label, per_label, text=text):
-        if y in found:
-            found[y].append(h.ids(t))
-    part = lambda held: [(y, x) for y, xs in found.items() for i, x in enumerate(xs) if (i % 4 == 3) == held]
-    model, held = fit(part(False)), part(True)
-    y = np.array([a for a, _ in held])
-    if not len(y) or y.min() == y.max():
+    name = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang else F.lit("")
+    both = F.when(label.isNotNull(), F.concat(label.cast("int").cast("string"), F.lit("|"), name))
+    found: dict[tuple[int, str], list[np.ndarray]] = {}
+    for key, t in labelled_sample(rows, both, per_label, text=text):
+        y, _, own = key.partition("|")
+        if y in ("0", "1"):
+            found.setdefault((int(y), own), []).append(h.ids(t))
+    part = lambda held: [(y, own, x) for (y, own), xs in sorted(found.items()) for i, x in enumerate(xs) if (i % 4 == 3) == held]
+    fitted, held = part(False), part(True)
+    model = fit([(y, x) for y, _, x in fitted])
+    model.groups = LanguageGroups([(own, x) for _, own, x in fitted if own])
+    y = np.array([a for a, _, _ in held])
+    if not model.filters or not len(y) or y.min() == y.max():
         return model
-    z, groups = np.array([logit(model, x) for _, x in held]), np.array([group.guess(x) for _, x in held])
+    z, groups = np.array([logit(model, x) for _, _, x in held]), np.array([model.groups.guess(x) for _, _, x in held])
     model.thresholds["any"] = _best_threshold(z, y)
-    for name in sorted(set(groups)):
-        own = groups == name
+    for one in sorted(set(groups)):
+        own = groups == one
         if min(y[own].sum(), (1 - y[own]).sum()) >= least:
-            model.thresholds[str(name)] = _best_threshold(z[own], y[own])
+            model.thresholds[str(one)] = _best_threshold(z[own], y[own])
     model.steepness = float(min(1.0, 4.0 / max(1e-6, np.abs(z - model.thresholds["any"]).mean())))
     return model
 
@@ -236,17 +251,17 @@ def train(rows: DataFrame, label: Column, per_label: int = 1_000, least: int = 2
 class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.hasher = model, hasher()
-        self.group = LanguageGroup(self.hasher)
 
     def score(self, text: str | None) -> float:
         ids = self.hasher.ids(text)
         m = self.model
-        z = logit(m, ids) - m.thresholds.get(self.group.guess(ids), m.thresholds.get("any", 0.0))
+        group = m.groups.guess(ids) if m.groups else "none"
+        z = logit(m, ids) - m.thresholds.get(group, m.thresholds.get("any", 0.0))
         return float(1 / (1 + np.exp(-np.clip(m.steepness * z, -30, 30))))
 
 
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, score) of each whole text. The model's size is fixed by its layers: about 3 MB."""
+    """(id_col, score) of each whole text. The model's size is fixed by its layers, and a column for each language: about 5 MB."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 
