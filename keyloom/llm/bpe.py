@@ -8,14 +8,21 @@ compatible. Subsets of configurations with their pending outputs become states o
 transducer when they are first met; what all pending outputs of a state share is emitted at once.
 A pending output ends within the longest token, so lookahead is bounded.
 
-Decoding joins the bytes of the tokens and runs an incremental UTF-8 state machine over them.
+Decoding feeds the bytes of each token to an incremental UTF-8 machine, a table of states and bytes. What a
+token does from a state is remembered, so most tokens are one step.
 
-Null texts are encoded as empty ones. Empty texts give no tokens. Other columns pass unread.
+The pattern's classes are those of the Unicode version that the public library has: code points that the
+``regex`` package knows and it does not are no letters and no numbers here.
+
+Defined results: null texts are encoded as empty ones, empty texts give no tokens; so do null ids. Texts of any length are
+encoded whole, with tables of bounded size. Repeated rows get equal results. Columns that are named pass unread, others are dropped, and
+names clash with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -268,63 +275,112 @@ class Transducer:
         return got
 
 
+#: Code points that Unicode 17 and later assign as letters and as numbers, which version 16 doesn't have.
+NEWER_LETTERS = r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DF1\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF3\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+NEWER_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016FF4-\U00016FF6"
+
+
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.find = regex.compile(pattern).findall
+        # the exact classes are slower; few texts hold a code point on which they differ
+        self.newer = re.compile(f"[{NEWER_LETTERS}{NEWER_NUMBERS}]").search
+        self.find_exact = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEWER_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEWER_NUMBERS}]]")).findall
         self.machine = Transducer(ranks)
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a whole text as packed 32-bit integers."""
-        known, piece = self.machine.pieces.get, self.machine.piece
-        return b"".join([known(m) or piece(m) for m in self.find(text or "")])
+        known, piece, text = self.machine.pieces.get, self.machine.piece, text or ""
+        find = self.find if text.isascii() or not self.newer(text) else self.find_exact
+        return b"".join([known(m) or piece(m) for m in find(text)])
 
     def encode(self, text: str | None) -> list[int]:
         return list(array("i", self.packed(text)))
 
 
-#: Length of a character by its first byte; 0: not a first byte.
-_LENGTH = [1] * 128 + [0] * 66 + [2] * 30 + [3] * 16 + [4] * 5 + [0] * 11
+def _utf8_table() -> list[int]:
+    """Next state by state << 8 | byte; -1: malformed. State 0 is between characters.
+
+    States 1 to 3 wait for so many bytes 80 to BF; 4 to 7 follow E0, ED, F0 and F4, whose second byte
+    has a narrower range.
+    """
+    table = [-1] * (8 << 8)
+
+    def put(state: int, lo: int, hi: int, nxt: int) -> None:
+        for b in range(lo, hi + 1):
+            table[state << 8 | b] = nxt
+
+    put(0, 0x00, 0x7F, 0)
+    put(0, 0xC2, 0xDF, 1)
+    put(0, 0xE1, 0xEF, 2)
+    put(0, 0xF1, 0xF3, 3)
+    for first, state in ((0xE0, 4), (0xED, 5), (0xF0, 6), (0xF4, 7)):
+        put(0, first, first, state)
+    for state in (1, 2, 3):
+        put(state, 0x80, 0xBF, state - 1)
+    put(4, 0xA0, 0xBF, 1)
+    put(5, 0x80, 0x9F, 1)
+    put(6, 0x90, 0xBF, 2)
+    put(7, 0x80, 0x8F, 2)
+    return table
+
+
+UTF8 = _utf8_table()
 
 
 class Utf8Machine:
     """Incremental UTF-8: feed bytes, get the text that is complete; an unfinished character waits.
 
-    States are the bytes seen of an unfinished character with the range its next byte must have.
-    Malformed bytes give U+FFFD, one for each maximal part of a character, as Unicode advises.
+    Malformed bytes give U+FFFD, one for each maximal part of a character, as Unicode advises. ``known``
+    may be shared by machines: it remembers what a token's bytes do after those that wait.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, known: dict[bytes, dict[bytes, tuple[str, bytes]]] | None = None) -> None:
         self.pending = b""
+        self.known = {} if known is None else known
 
     @staticmethod
-    def _next_range(head: bytes) -> tuple[int, int]:
-        if len(head) == 1:
-            return {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(head[0], (0x80, 0xBF))
-        return 0x80, 0xBF
+    def run(pending: bytes, raw: bytes) -> tuple[str, bytes]:
+        """The text that ends within ``raw``, read after ``pending``, and the bytes that then wait."""
+        table, out, state, code, held = UTF8, [], 0, 0, bytearray()
+        for b in pending + raw:
+            nxt = table[state << 8 | b]
+            if nxt < 0:
+                if held:  # the character ends here; the byte may begin another one
+                    out.append("\ufffd")
+                    held.clear()
+                    nxt = table[b]
+                if nxt < 0:
+                    out.append("\ufffd")
+                    state = 0
+                    continue
+            if held:
+                code = code << 6 | b & 0x3F
+            else:
+                code = b if b < 0x80 else b & (0x1F if b < 0xE0 else 0x0F if b < 0xF0 else 0x07)
+            state = nxt
+            if state:
+                held.append(b)
+            else:
+                out.append(chr(code))
+                held.clear()
+        return "".join(out), bytes(held)
 
     def feed(self, raw: bytes) -> str:
-        raw = self.pending + raw
-        cut = len(raw)
-        for back in range(1, min(3, len(raw)) + 1):  # the last first byte decides whether a character is unfinished
-            b = raw[-back]
-            if b >= 0xC2 and _LENGTH[b] > back and self._prefix(raw[-back:]):
-                cut = len(raw) - back
-                break
-            if b < 0x80 or b >= 0xC0:
-                break
-        self.pending = raw[cut:]
-        return raw[:cut].decode("utf-8", errors="replace")
-
-    def _prefix(self, part: bytes) -> bool:
-        for i in range(1, len(part)):
-            lo, hi = self._next_range(part[:i])
-            if not lo <= part[i] <= hi:
-                return False
-        return True
+        after = self.known.get(self.pending)
+        if after is None:
+            after = self.known[self.pending] = {}
+        got = after.get(raw)
+        if got is None:
+            got = self.run(self.pending, raw)
+            if len(raw) <= 256:
+                after[raw] = got
+        self.pending = got[1]
+        return got[0]
 
     def close(self) -> str:
         rest, self.pending = self.pending, b""
-        return rest.decode("utf-8", errors="replace")
+        return "\ufffd" if rest else ""
 
 
 class Decoder:
@@ -333,14 +389,37 @@ class Decoder:
     def __init__(self, ranks: dict[bytes, int], chunk: int = 4096):
         self.token = {i: t for t, i in ranks.items()}
         self.chunk = chunk
+        self.known: dict[bytes, dict[bytes, tuple[str, bytes]]] = {}  # bounded: waiting bytes of UTF-8, times tokens met after them
+        self.plain: dict[int, str | None] = {}  # text of a token that starts and ends between characters
 
     def stream(self, ids: Iterable[int]) -> Iterator[tuple[bytes, str]]:
-        machine, rest = Utf8Machine(), iter(ids)
+        """Bytes and text of ``chunk`` tokens after the other."""
+        machine, rest = Utf8Machine(self.known), iter(ids)
         while part := tuple(islice(rest, self.chunk)):
-            raw = b"".join(map(self.token.__getitem__, part))
-            yield raw, machine.feed(raw)
+            yield b"".join(map(self.token.__getitem__, part)), self._text(machine, part)
         yield b"", machine.close()
 
+    def _text(self, machine: Utf8Machine, part: Iterable[int]) -> str:
+        out, plain, token = [], self.plain, self.token
+        if len(self.known) > 20_000:
+            self.known.clear()
+        for i in part:
+            if not machine.pending:
+                text = plain.get(i)
+                if text is not None:
+                    out.append(text)
+                    continue
+            before = machine.pending
+            text = machine.feed(token[i])
+            if not before and not machine.pending:
+                plain[i] = text
+            out.append(text)
+        return "".join(out)
+
+    def text(self, ids: Iterable[int]) -> str:
+        machine = Utf8Machine(self.known)
+        return self._text(machine, ids) + machine.close()
+
     def decode(self, ids: Iterable[int]) -> tuple[bytes, str]:
         parts = list(self.stream(ids))
         return b"".join([a for a, _ in parts]), "".join([b for _, b in parts])
@@ -408,11 +487,11 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
 
 
 def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, ids, decoded, decoded_text): both directions in one pass, with one worker a task."""
+    """(id_col, ids, decoded_text): both directions in one pass, with one worker a task."""
 
     def work(raw: bytes, texts: list[str | None]) -> list[pa.Array]:
         coder, back = _machines(raw, pattern)
         ids = [coder.packed(t) for t in texts]
-        return [_ids(ids), *_decoded(back, [memoryview(x).cast("i") for x in ids])]
+        return [_ids(ids), pa.array([back.text(memoryview(x).cast("i")) for x in ids], pa.string())]
 
-    return _mapped(df, ranks_path, [id_col, text_col], carry, "ids array<int>, decoded binary, decoded_text string", work)
+    return _mapped(df, ranks_path, [id_col, text_col], carry, "ids array<int>, decoded_text string", work)
