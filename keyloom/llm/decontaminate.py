@@ -10,15 +10,19 @@
    -0.5. The best score divided by the item's length is the similarity; from ``threshold`` on the
    document is reported. A copy that shares no n words in a row with its item is not seen.
 
-Documents are not shuffled. The benchmark's size is checked; a larger one is worked through in blocks of ``block_words`` words, each a bounded broadcast.
+Documents are not shuffled. The benchmark is worked through in blocks of at most ``block_words`` words, each a bounded
+broadcast; only an item that is larger by itself makes a larger block, so one item's size is a bound too.
 
 Defined results: null or empty texts and items match nothing. An item shorter than an n-gram is a
-seed as a whole. Repeated rows give repeated results; equal items each get their own rows. Empty
+seed as a whole. Repeated rows give repeated results; equal items each get their own rows. Texts of any length
+are scanned whole; an alignment takes memory in proportion to its window. Of equal scores the first window is reported. Rows
+without an id are found too, and cleaned row by row. Only id and text are read, whatever other columns are named. Empty
 tables give an empty result. Words are runs of letters, digits and underscores in lower case.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +47,8 @@ class Benchmark:
     at: np.ndarray
 
     def __post_init__(self) -> None:
-        """A bit for the leading bits of each seed: most n-grams of a text are ruled out by it."""
+        """Sizes of items, and a bit for the leading bits of each seed: most n-grams of a text are ruled out by it."""
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         self.shift = np.uint64(64 - max(16, min(27, 5 + len(self.seeds).bit_length())))
         self.some = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
         self.some[(self.seeds >> self.shift).astype(np.int64)] = True
@@ -138,7 +143,7 @@ def matches(b: Benchmark, words: np.ndarray, grams: np.ndarray, threshold: float
     item, diagonal = item[on], diagonal[on]
     if not len(item):
         return []
-    size = np.array([len(w) for w in b.words])[item]
+    size = b.size[item]
     reach = np.ceil((1 - threshold) * size / 0.5).astype(np.int64) + 1  # a gap costs 0.5 a word
     cuts = np.nonzero((item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > reach[1:]))[0] + 1
     best: dict[int, tuple[float, int, int]] = {}
@@ -156,10 +161,10 @@ def matches(b: Benchmark, words: np.ndarray, grams: np.ndarray, threshold: float
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks; one block at a time on the driver."""
-    held, n = [], 0
+    """The benchmark in blocks by their number of words; one block at a time on the driver."""
+    held, n, words = [], 0, re.compile(r"\w+")
     for r in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).toLocalIterator():
-        size = len(r["t"] or "") // 4 + 1
+        size = sum(1 for _ in words.finditer(r["t"] or "")) + 1
         if held and n + size > block_words:
             yield held
             held, n = [], 0

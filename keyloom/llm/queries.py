@@ -113,16 +113,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OP5 = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 k AS (SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) AS key, t FROM d),
 g AS (SELECT key, CAST(sum(size) AS BIGINT) AS size FROM k GROUP BY key),
-o AS (SELECT key, size, row_number() OVER w AS i, coalesce(sum(size) OVER (ORDER BY size DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT sum(size) FROM g) AS total FROM g WINDOW w AS (ORDER BY size DESC, key)),
-own AS (SELECT key, i FROM (SELECT *, bool_and(i <= 7 AND size * (9 - i) > total - before) OVER (ORDER BY i) AS alone FROM o) WHERE alone),
-r AS (SELECT key, size, CAST(sum(size) OVER (ORDER BY key) AS BIGINT) AS upto FROM g WHERE key NOT IN (SELECT key FROM own)),
-s AS (SELECT list({'n': CAST(1 AS BIGINT), 'run': size} ORDER BY key) AS groups, CAST(max(size) AS BIGINT) AS most, CAST(sum(size) AS BIGINT) AS total, CAST(8 - (SELECT count(*) FROM own) AS BIGINT) AS shards FROM r),
+r AS (SELECT key, size, CAST(sum(size) OVER (ORDER BY key) AS BIGINT) AS upto FROM g),
+s AS (SELECT list({'n': CAST(1 AS BIGINT), 'run': size} ORDER BY key) AS groups, CAST(max(size) AS BIGINT) AS most, CAST(sum(size) AS BIGINT) AS total, CAST(8 AS BIGINT) AS shards FROM r),
 b AS (SELECT CAST(greatest(most, (total + shards - 1) // shards) AS BIGINT) AS lo, total AS hi FROM s
  UNION ALL SELECT CASE WHEN fits THEN lo ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE hi END FROM
  (SELECT lo, hi, mid, list_reduce(s.groups, lambda a, x: CASE WHEN a.run + x.run > mid THEN {'n': a.n + 1, 'run': x.run} ELSE {'n': a.n, 'run': a.run + x.run} END).n <= s.shards AS fits FROM (SELECT lo, hi, (lo + hi) // 2 AS mid FROM b WHERE lo < hi), s)),
 c AS (SELECT min(hi) AS cap FROM b),
 e AS (SELECT CAST(0 AS BIGINT) AS upto UNION ALL SELECT (SELECT max(r.upto) FROM r, c WHERE r.upto <= e.upto + c.cap) FROM e WHERE e.upto < (SELECT total FROM s)),
-p AS (SELECT r.key, CAST((SELECT count(*) FROM e WHERE e.upto > 0 AND e.upto < r.upto) AS INTEGER) AS shard FROM r UNION ALL SELECT key, CAST(8 - i AS INTEGER) FROM own)
+p AS (SELECT r.key, CAST((SELECT count(*) FROM e WHERE e.upto > 0 AND e.upto < r.upto) AS INTEGER) AS shard FROM r)
 SELECT doc_id, size, {crc} AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM k JOIN p USING (key)"""
 
 

@@ -13,12 +13,14 @@ The key has 60 bits, so there are at most four rounds, each one pass over (key,
 Numbers within a shard come from a range shuffle on (key, doc_id) and offsets of its partitions.
 A hot group is spread over partitions there, because doc_id is part of the range key.
 
-A group that alone exceeds an equal share of what is left has a shard of its own, the last ones;
-there are fewer than ``shards`` of them. The search runs over the other groups and shards, so one hot
-group does not let the others fill up unevenly to its size.
+A group larger than an equal share sets the capacity, as no cut can do better. The other shards then may
+fill up to it while the last ones stay empty; ``apart`` gives such groups, fewer than ``shards``, the last shards for themselves
+and cuts the order of the others, which is no longer one partition of the whole order.
 
 Defined results: null texts count one byte and form a group with empty ones. The law is `bytes`:
-sizes are as near to equal as whole groups allow. Equal doc_ids keep separate slots. Empty tables give an empty result.
+sizes are as near to equal as whole groups allow. Texts of any length count whole. Equal doc_ids keep separate
+slots; ties of key and id are numbered in any order. Rows without an id come first in their group. Only id and text are read, whatever other
+columns are named. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -202,14 +204,14 @@ def plan(groups: DataFrame, shards: int, key: str = "key") -> tuple[int, list[in
     return lo, starts
 
 
-def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", apart: bool = False) -> DataFrame:
     """(doc_id, size, text_crc32, key, shard, slot) of every document."""
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("crc"), group_key(t).alias("key"))
     rows = cut(rows)
     groups = cut(rows.groupBy("key").agg(F.sum("size").alias("size")))
-    large = alone(groups, shards)
+    large = alone(groups, shards) if apart else []
     _, starts = plan(groups.where(~F.col("key").isin(large)) if large else groups, shards - len(large))
     number = F.lit(0)
     for s in starts:

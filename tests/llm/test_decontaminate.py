@@ -119,3 +119,31 @@ def test_an_item_of_one_repeated_seed_is_found(spark):
     docs = spark.createDataFrame([(1, "she said no no no no no and left"), (2, "nothing at all in here")], "doc_id long, text string")
     found = d.find(docs, spark.createDataFrame([(1, "no no no no no")], "item_id long, text string")).collect()
     assert [(x.doc_id, x.similarity) for x in found] == [(1, 1.0)]
+
+
+def test_recall_of_edited_copies_against_full_alignment():
+    """Items copied with words replaced, dropped and put in; full Smith-Waterman over the whole document says which count."""
+    r, h = random.Random(8), WideHasher()
+    words = [f"v{i}" for i in range(4000)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([8, 15, 27, 40, 60])))) for i in range(60)]
+    b = d.block_of(items, 3, h)
+    caught = wanted = 0
+    for k in range(400):
+        i, text = items[r.randrange(60)]
+        copy = [r.choice(words) if r.random() < (0.1, 0.2, 0.3)[k % 3] else w for w in text.split()]
+        if k % 4 == 0:
+            at = r.randrange(len(copy))
+            copy[at:at] = [r.choice(words) for _ in range(len(copy) // 2)]
+        body = [r.choice(words) for _ in range(120)]
+        body[50:50] = copy
+        doc = h.ids(" ".join(body))
+        if d.align(b.words[i], doc)[0] / len(b.words[i]) >= 0.5:
+            wanted += 1
+            caught += i in [x[0] for x in d.matches(b, doc, d.quick_ngrams(doc, 3), 0.5)]
+    assert wanted > 250 and caught / wanted > 0.97, (caught, wanted)
+
+
+def test_blocks_hold_no_more_words_than_they_may(spark):
+    items = spark.createDataFrame([(i, "a b " * n) for i, n in enumerate([3, 4, 500, 2, 2, 1])] + [(9, None)], "item_id long, text string")
+    sizes = [[len((t or "").split()) for _, t in rows] for rows in d.blocks(items, "item_id", "text", 20)]
+    assert sorted(x for s in sizes for x in s) == [0, 2, 4, 4, 6, 8, 1000] and all(len(s) == 1 or sum(s) <= 20 for s in sizes)

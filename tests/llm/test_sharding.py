@@ -56,7 +56,7 @@ def test_shards_hold_whole_groups_and_slots_have_no_gaps(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows += [(5000 + i, "hot text " * 30) for i in range(900)] + [(7000, None), (7001, ""), (7002, None)] + [(1, "again")] * 2
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string").repartition(6)
-    got = sharding.shard(df, 8).collect()
+    got = sharding.shard(df, 8, apart=True).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
     by = {}
     for r in got:
@@ -76,6 +76,23 @@ def test_shards_hold_whole_groups_and_slots_have_no_gaps(spark, sf):
     assert len(rest) == 7 and max(rest) < 2 * min(rest) + 40_000
 
 
+def test_shards_are_runs_of_the_ordered_groups(spark, sf):
+    """One minimax cut of all groups, whatever their sizes: the same as plain search and greedy filling."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for hot in (0, 700):
+        every = rows + [(5000 + i, "hot text " * 30) for i in range(hot)]
+        got = sharding.shard(spark.createDataFrame(every, "doc_id long, text string").repartition(5), 8).collect()
+        groups, where = {}, {}
+        for r in got:
+            groups[r.key] = groups.get(r.key, 0) + r.size
+            assert where.setdefault(r.key, r.shard) == r.shard
+        order = sorted(groups)
+        sizes = np.array([groups[k] for k in order])
+        ends = sharding.greedy(sizes, sharding.smallest_capacity(sizes, 8))
+        want = {order[i]: s for s, (lo, hi) in enumerate(zip([0, *ends], ends)) for i in range(lo, hi)}
+        assert where == want
+
+
 def test_small_and_empty_tables(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [r.shard for r in sharding.shard(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()] in ([0], [7])
