@@ -11,7 +11,7 @@ Documents with equal registers in a band meet in a bucket. Groups of copies may
 buckets never make all pairs:
 
 1. Documents with equal weighted shingles are one class from the start.
-2. In each bucket every class meets the bucket's first one only. Of a class's candidates the one
+2. In each bucket every class meets the one with the smallest id only. Of a class's candidates the one
    with the most equal registers, of either set, is verified on the texts; verified links give components.
 3. In buckets that still hold several components, what lies outside the largest is compared with
    the rest, other components only: no link between classes is lost to the choice of leaders, and a
@@ -307,8 +307,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     # nodes are numbered once: the checkpoint holds the numbers
     members = cut(members.select(F.monotonically_increasing_id().alias("node"), "fp", "first.id", "first.th", "n", "registers", "plain", "bands"))
     total = members.count()
-    buckets = members.where("bands IS NOT NULL").select("node", F.explode("bands").alias("key"))
-    shared = cut(buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1"))
+    buckets = members.where("bands IS NOT NULL").select("node", "id", F.explode("bands").alias("key"))
+    # copies are more often like the first of their group than like one another
+    shared = cut(buckets.groupBy("key").agg(F.min_by("node", F.struct("id", "node")).alias("leader"), F.count("*").alias("n")).where("n > 1"))
     hot = hot_keys(shared, "key", 2 * BANDS * total)
     buckets = cut(spread_join(buckets, shared.select("key", "leader"), "key", "node", hot))  # only buckets of two and more
     sides = members.where("registers IS NOT NULL").select("node", "registers", "plain")
