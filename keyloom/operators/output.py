@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.records import RECORD_LEN
+from keyloom.operators.sorting import positions_within
 
 MEGABYTE = 1_000_000
 DEFAULT_CAP = 128 * MEGABYTE
@@ -34,6 +35,4 @@ def manifest(sizes: DataFrame, per_file: int) -> DataFrame:
 
 def rolling(assigned: DataFrame, per_file: int, order: tuple[str, ...] = ("key", "value"), name: str = "pid") -> DataFrame:
     """Records with the number of the output in their range, every ``per_file`` records a new one."""
-    w = Window.partitionBy(name).orderBy(*order)
-    pos = (F.row_number().over(w) - 1).cast("long")
-    return assigned.withColumn("pos", pos).withColumn("chunk", F.expr(f"pos div {per_file}"))
+    return positions_within(assigned, name, order).withColumn("chunk", F.expr(f"pos div {per_file}"))

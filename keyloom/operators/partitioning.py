@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +53,9 @@ def assign(key: Column, ends: list[bytes]) -> Column:
 
 def assign_many(records: DataFrame, ends: list[bytes], key: str = "key", name: str = "pid") -> DataFrame:
     """The same for more ends than an expression should hold, from a broadcast array in Arrow batches."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
 
     shared = records.sparkSession.sparkContext.broadcast(ends)
     names = records.columns
@@ -63,18 +63,22 @@ def assign_many(records: DataFrame, ends: list[bytes], key: str = "key", name: s
     at = names.index(key)
 
     def run(batches):
-        found = shared.value
+        # zero bytes at the end of a fixed-width value do not count, and need not: keys are equally long, ends their prefixes or longer
+        found = np.array(shared.value)
         for b in batches:
-            pid = [min(bisect_right(found, k), len(found) - 1) for k in b.column(at).to_pylist()]
+            keys = np.array(b.column(at).to_pylist(), dtype=f"S{max(1, pa.compute.max(pa.compute.binary_length(b.column(at))).as_py() or 1)}")
+            pid = np.minimum(np.searchsorted(found, keys, side="right"), len(found) - 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pid, pa.int64())], names=[*names, name])
 
     return records.mapInArrow(run, schema)
 
 
-def range_join(records: DataFrame, bounds: DataFrame, key: str = "key") -> DataFrame:
-    """The same by a join on lo <= key < hi; the ranges are few and broadcast."""
-    cond = (F.col(key) >= F.col("lo")) & (F.col(key) < F.col("hi"))
-    return records.join(F.broadcast(bounds), cond).drop("lo", "hi")
+def range_join(records: DataFrame, ends: list[bytes], bounds: DataFrame, key: str = "key") -> DataFrame:
+    """``records`` with the row of ``bounds`` (pid, lo, hi) that holds their key.
+
+    lo <= key < hi is decided by the tree of ``assign``, so the join is on pid, not on a comparison of all pairs.
+    """
+    return records.withColumn("pid", assign(F.col(key), ends)).join(bounds, "pid")
 
 
 def sizes(assigned: DataFrame, parts: int, name: str = "pid") -> DataFrame:

@@ -19,15 +19,16 @@ def first_run(records: DataFrame, machine: str = "machine", run: str = "run") ->
     return records.groupBy(machine).agg(F.min(run).alias(run))
 
 
-def spread(records: DataFrame, size: int = 100_000, key: str = "key", seed: int = 17) -> DataFrame:
-    """About ``size`` keys from everywhere, chosen by hash: the same whatever the partitioning.
+def spread(records: DataFrame, size: int = 100_000, columns: tuple[str, ...] = ("key",), seed: int = 17, total: int | None = None) -> DataFrame:
+    """About ``size`` rows of ``columns`` from everywhere, chosen by hash: the same whatever the partitioning.
 
-    A sorted first file would bias a head sample; ranges from a spread one are balanced.
+    A sorted first file would bias a head sample; ranges from a spread one are balanced. All columns of
+    ``records`` enter the hash, so rows of one frequent key are chosen one by one. ``total`` spares the count.
     """
-    n = records.count()
+    n = records.count() if total is None else total
     share = min(1.0, size / max(1, n))
     top = int(-(2**63) + share * (2**64 - 1))
-    return records.select(key).where(F.xxhash64(F.lit(seed), F.col(key)) <= F.lit(min(top, 2**63 - 1)))
+    return records.where(F.xxhash64(F.lit(seed), *records.columns) <= F.lit(min(top, 2**63 - 1))).select(*columns)
 
 
 def concatenated(sample: DataFrame, run: str = "run", key: str = "key") -> DataFrame:

@@ -32,9 +32,20 @@ def with_positions(records: DataFrame, order: tuple[str, ...] = ORDER, name: str
     return numbered.withColumn(name, F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1)).drop("_part", "_row", "_before")
 
 
+def positions_within(records: DataFrame, group: str, order: tuple[str, ...] = ORDER, name: str = "pos") -> DataFrame:
+    """``records`` with their position in the order of their group, from 0; groups are few, and may be of any size.
+
+    One total order by group, then the rest: a large group is spread over tasks. Each group's first
+    position is subtracted; it is one row a group.
+    """
+    numbered = with_positions(records, (group, *order), "_pos")
+    firsts = numbered.groupBy(group).agg(F.min("_pos").alias("_first"))
+    return numbered.join(F.broadcast(firsts), group).withColumn(name, F.col("_pos") - F.col("_first")).drop("_pos", "_first")
+
+
 def run_sort(records: DataFrame, run: str = "run", order: tuple[str, ...] = ORDER, name: str = "pos") -> DataFrame:
     """Each run sorted on its own, with positions from 0 in the run."""
-    return records.withColumn(name, (F.row_number().over(Window.partitionBy(run).orderBy(*order)) - 1).cast("long"))
+    return positions_within(records, run, order, name)
 
 
 def kway_merge(runs: list[DataFrame], order: tuple[str, ...] = ORDER) -> DataFrame:

@@ -6,19 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order_violations(positioned: DataFrame, key: str = "key", pos: str = "pos", block: int = 100_000) -> DataFrame:
+def order_violations(ordered: DataFrame, key: str = "key") -> DataFrame:
     """One row: how many records have a smaller key than the record before; equal keys are in order.
 
-    Neighbours are found by blocks of positions, so no window spans the table: the first record of a
-    block meets the last of the block before by a join of one row a block.
+    ``ordered`` is in the order of its partitions, as a sort or range exchange leaves it. Neighbours are compared
+    within each partition, in Arrow batches; of a partition only its ends leave the task.
     """
-    b = F.expr(f"{pos} div {block}")
-    w = Window.partitionBy("_b").orderBy(pos)
-    rows = positioned.select(F.col(key).alias("k"), F.col(pos).alias(pos), b.alias("_b"))
-    inside = rows.withColumn("before", F.lag("k").over(w)).agg(F.count_if(F.col("before") > F.col("k")).alias("n"))
-    ends = rows.groupBy("_b").agg(F.min_by("k", pos).alias("first"), F.max_by("k", pos).alias("last"))
-    across = ends.alias("x").join(ends.alias("y"), F.col("y._b") == F.col("x._b") + 1).agg(F.count_if(F.col("x.last") > F.col("y.first")).alias("n"))
-    return inside.union(across).agg(F.sum("n").cast("long").alias("violations"))
+    import pyarrow as pa
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        first = last = None
+        bad = n = 0
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            if not keys:
+                continue
+            bad += sum(x > y for x, y in zip(keys, keys[1:])) + (last is not None and last > keys[0])
+            first, last, n = keys[0] if first is None else first, keys[-1], n + len(keys)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.binary()), pa.array([last], pa.binary()), pa.array([bad], pa.int64())], names=["part", "first", "last", "bad"])
+
+    ends = ordered.select(F.col(key).cast("binary").alias("k")).mapInArrow(run, "part int, first binary, last binary, bad long")
+    before = F.lag("last").over(Window.orderBy("part"))  # one row a partition
+    return ends.withColumn("before", before).agg(F.coalesce(F.sum(F.col("bad") + F.when(F.col("before") > F.col("first"), 1).otherwise(0)), F.lit(0)).cast("long").alias("violations"))
 
 
 def range_violations(assigned: DataFrame, key: str = "key", name: str = "pid") -> DataFrame:

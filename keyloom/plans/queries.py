@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import records as R
@@ -103,9 +103,10 @@ def key_value_projection(spark, d):
 def key_compare(spark, d):
     """C4: unsigned comparison with constants around the sign bit."""
     pivots = [bytes([b]) + fill * 9 for b, fill in ((0x7F, b"\x00"), (0x80, b"\x00"), (0xFF, b"\xff"))]
-    at = F.explode(F.array(*(F.struct(F.lit(p.hex().upper()).alias("bound"), R.compare(F.col("key"), R.key_literal(p)).alias("c")) for p in pivots))).alias("x")
-    each = _records(spark, d).select(at).select("x.*")
-    return each.groupBy("bound").agg(F.count_if(F.col("c") < 0).alias("below"), F.count_if(F.col("c") == 0).alias("equal"), F.count_if(F.col("c") > 0).alias("above"))
+    names = [("below", -1), ("equal", 0), ("above", 1)]
+    counts = [F.count_if(R.compare(F.col("key"), R.key_literal(p)) == c).alias(f"{n}{i}") for i, p in enumerate(pivots) for n, c in names]
+    rows = F.array(*(F.struct(F.lit(p.hex().upper()).alias("bound"), *(F.col(f"{n}{i}").alias(n) for n, _ in names)) for i, p in enumerate(pivots)))
+    return _records(spark, d).agg(*counts).select(F.explode(rows).alias("x")).select("x.*")
 
 
 @query(f"WITH {RECORDS_SQL} SELECT * FROM records WHERE key >= '40000000000000000000' AND key < '80000000000000000000'")
@@ -209,10 +210,10 @@ def range_partition_sizes(spark, d):
 def range_join_partition(spark, d):
     """The same by a range join."""
     bounds = partitioning.ranges_frame(spark, ENDS)
-    return _hexed(partitioning.range_join(_records(spark, d).select("key", "value"), bounds)).select("key", "value", "pid")
+    return _hexed(partitioning.range_join(_records(spark, d).select("key", "value"), ENDS, bounds)).select("key", "value", "pid")
 
 
-@query(None)
+@query(f"WITH {RECORDS_SQL}, {ASSIGNED_SQL} SELECT pid, pid AS task, CAST(count(*) AS BIGINT) AS n FROM assigned GROUP BY pid")
 def exchange_layout(spark, d):
     """Where the exchange puts ranges; one task each."""
     moved = partitioning.exchange(_assigned(spark, d), len(ENDS)).withColumn("task", F.spark_partition_id().cast("long"))
@@ -236,7 +237,7 @@ def output_manifest(spark, d):
 @query(f"WITH {RECORDS_SQL}, o AS (SELECT key, lag(key) OVER (ORDER BY key, value) AS before FROM records) SELECT CAST(count(*) FILTER (before > key) AS BIGINT) AS violations FROM o")
 def validate_sorted(spark, d):
     """The sorted records have no record before a smaller one."""
-    return validate.order_violations(sorting.with_positions(_records(spark, d).select("key", "value")), block=10_000)
+    return validate.order_violations(sorting.global_sort(_records(spark, d).select("key", "value")))
 
 
 @query(f"WITH {RECORDS_SQL}, {ASSIGNED_SQL}, e AS (SELECT pid, min(key) AS lo, max(key) AS hi FROM assigned GROUP BY pid), l AS (SELECT lo, lag(hi) OVER (ORDER BY pid) AS before FROM e) SELECT CAST(count(*) FILTER (before > lo) AS BIGINT) AS violations FROM l")
@@ -251,6 +252,65 @@ def record_count_parity(spark, d):
     return validate.count_parity(_records(spark, d), sorting.kway_merge([_assigned(spark, d)]))
 
 
+@query(f"""WITH {RECORDS_SQL}, {SAMPLE_SQL}, k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM sample),
+e AS (SELECT list(k.key) AS ends FROM range(1, {PARTS}) i(i) JOIN k ON k.pos = (i.i * k.n) // {PARTS}), a AS (SELECT key, CAST(len(list_filter(ends, lambda x: x <= key)) AS BIGINT) AS pid FROM records, e)
+SELECT pid, CAST(count(*) AS BIGINT) AS n, min(key) AS lo, max(key) AS hi FROM a GROUP BY pid""")
+def sampled_ranges(spark, d):
+    """D5, E2, E3 as one: the head of every run, its split points, and the records of each range they make."""
+    ends = partitioning.collected_ends(partitioning.split_points(_sample(spark, d), PARTS))
+    df = _records(spark, d)
+    by = df.withColumn("pid", partitioning.assign(df["key"], ends)).groupBy("pid")
+    return _hexed(by.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")), "lo", "hi")
+
+
+def _sorted_files(spark, records, name, cap, ranges):
+    """``records`` written as files, sorted by the whole job, and read again with positions in the output."""
+    import uuid
+
+    from keyloom.plans.file_sort import sort_files
+    from keyloom.sources.fixed_record import read_records, register
+
+    register(spark)
+    root = (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    root = f"{root}/{name}-{uuid.uuid4().hex}"
+    records.select("key", "value").write.format("fixedrecord").mode("append").option("path", f"{root}/in").save()
+    sort_files(spark, [f"{root}/in"], f"{root}/out", cap, ranges)
+    got = read_records(spark, [f"{root}/out"], positions=True).withColumn("number", F.substring_index("file", ".", -1).cast("long"))
+    sizes = got.groupBy("number").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    return _hexed(got.join(F.broadcast(sizes.select("number", F.coalesce(before, F.lit(0)).alias("base"))), "number").select("key", "value", (F.col("base") + F.col("row")).alias("pos")))
+
+
+def _long_value(value):
+    """A value of 90 bytes that begins with a shorter one."""
+    return F.substring(F.concat(value, *[F.unhex(F.md5(value))] * 5), 1, R.VALUE_LEN)
+
+
+_LONG_SQL = "substr(concat(value, repeat(upper(md5(unhex(value))), 5)), 1, 180)"
+
+
+@query(f"WITH {RECORDS_SQL}, l AS (SELECT key, {_LONG_SQL} AS value FROM records) SELECT key, value, row_number() OVER (ORDER BY key, value) - 1 AS pos FROM l")
+def file_sort(spark, d):
+    """100-byte records written as files, sorted by the job, read again."""
+    df = _records(spark, d)
+    return _sorted_files(spark, df.select("key", _long_value(df["value"]).alias("value")), "file-sort", 100_000, 16)
+
+
+@query(f"WITH {RECORDS_SQL}, l AS (SELECT CASE WHEN run <> 0 THEN '68' || repeat('00', 9) ELSE key END AS key, {_LONG_SQL} AS value FROM records) SELECT key, value, row_number() OVER (ORDER BY key, value) - 1 AS pos FROM l")
+def file_sort_skewed(spark, d):
+    """The same where three of four records share one key."""
+    df = _records(spark, d)
+    key = F.when(F.col("run") != 0, R.key_literal(b"h" + bytes(9))).otherwise(F.col("key"))
+    return _sorted_files(spark, df.select(key.alias("key"), _long_value(df["value"]).alias("value")), "file-sort-skewed", 100_000, 16)
+
+
+@query("SELECT 'lineitem' AS name, CAST(count(*) AS BIGINT) AS rows, true AS sized FROM lineitem UNION ALL SELECT 'orders', CAST(count(*) AS BIGINT), true FROM orders")
+def file_metadata(spark, d):
+    """Files, their sizes and rows, from the files themselves."""
+    found = C.file_catalog(_t(spark, d, "lineitem")).unionByName(C.file_catalog(_t(spark, d, "orders")))
+    return found.groupBy(F.regexp_extract("path", "([a-z]+)[.]parquet", 1).alias("name")).agg(F.sum("rows").cast("long").alias("rows"), F.bool_and(F.col("size") > 0).alias("sized"))
+
+
 @query(f"WITH {RECORDS_SQL} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT key) AS BIGINT) AS distinct_keys, CAST(count(*) - count(DISTINCT key) AS BIGINT) AS duplicates FROM records")
 def duplicate_keys(spark, d):
     """F8: how many records repeat a key."""

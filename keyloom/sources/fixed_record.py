@@ -1,30 +1,34 @@
-"""``spark.read/write.format("fixedrecord")``: files of 100-byte records.
+"""``spark.read/write.format("fixedrecord")``: files of 100-byte records, on any storage of ``storage``.
 
 Reading: every file is split at record bounds and read in Arrow batches. A trailing partial record is
-dropped, or raises with ``strict``. Directories are listed one level deep; names that start with "."
-or "_" are not data.
+dropped, which is logged with its size, or raises with ``strict``. Directories are listed one level deep; names that start with "."
+or "_" are not data. With ``positions`` rows also have the file's name and their number in it.
 
 Writing: rows of a task go to ``partition.<n>`` files in their order, a new file every ``cap`` bytes.
 Numbers come from ``bases`` (first file number of each task, comma-joined) or else from the task's id,
 one file a task. Files are written under a hidden name by each attempt and renamed when the job
-commits, so a retried task leaves nothing behind. ``path`` must be storage that all executors share.
+commits, so a retried task leaves nothing behind. ``append`` refuses a folder in which a file of a name to be
+written is; ``overwrite`` first moves all new files in place, then deletes what else was there. ``path``
+must be storage that all executors share.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
+import logging
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from keyloom.functions.records import KEY_LEN, RECORD_LEN, RECORD_SCHEMA
+from keyloom.sources import storage
+
+LOG = logging.getLogger("keyloom")
 
 SPLIT_BYTES = 32_000_000
-BATCH_RECORDS = 50_000
 
 
 @dataclass
@@ -34,20 +38,6 @@ class Split(InputPartition):
     records: int
 
 
-def data_files(paths: list[str]) -> list[str]:
-    """Files given, and files in folders given, in order of name; a missing path raises."""
-    out = []
-    for p in paths:
-        p = p.removeprefix("file://")
-        if os.path.isdir(p):
-            out += sorted(os.path.join(p, n) for n in os.listdir(p) if n[0] not in "._" and os.path.isfile(os.path.join(p, n)))
-        elif os.path.exists(p):
-            out.append(p)
-        else:
-            raise FileNotFoundError(p)
-    return out
-
-
 def _paths(options: dict) -> list[str]:
     if options.get("paths"):
         import json
@@ -59,14 +49,16 @@ def _paths(options: dict) -> list[str]:
 class RecordReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths, self.strict = _paths(options), options.get("strict", "false").lower() == "true"
+        self.positions = options.get("positions", "false").lower() == "true"
         self.split = max(RECORD_LEN, int(options.get("splitbytes", SPLIT_BYTES)) // RECORD_LEN * RECORD_LEN)
 
     def partitions(self) -> list[Split]:
         out = []
-        for path in data_files(self.paths):
-            size = os.path.getsize(path)
-            if size % RECORD_LEN and self.strict:
-                raise ValueError(f"{path}: {size} bytes are not whole records of {RECORD_LEN} bytes")
+        for path, size in storage.data_files(self.paths):
+            if size % RECORD_LEN:
+                if self.strict:
+                    raise ValueError(f"{path}: {size} bytes are not whole records of {RECORD_LEN} bytes")
+                LOG.warning("%s: %d trailing bytes are no whole record and are dropped", path, size % RECORD_LEN)
             for start in range(0, size // RECORD_LEN * RECORD_LEN, self.split):
                 out.append(Split(path, start, min(self.split, size - start) // RECORD_LEN))
         return out or [Split("", 0, 0)]
@@ -74,14 +66,19 @@ class RecordReader(DataSourceReader):
     def read(self, split: Split):
         if not split.records:
             return
-        with open(split.path, "rb") as f:
-            f.seek(split.start)
-            left = split.records
-            while left:
-                n = min(left, BATCH_RECORDS)
-                raw = np.frombuffer(f.read(n * RECORD_LEN), dtype=np.uint8).reshape(n, RECORD_LEN)
-                yield pa.RecordBatch.from_arrays([_binary(raw[:, :KEY_LEN]), _binary(raw[:, KEY_LEN:])], schema=pa.schema([("key", pa.binary()), ("value", pa.binary())]))
-                left -= n
+        at, held = split.start // RECORD_LEN, b""
+        name = split.path.rsplit("/", 1)[-1]
+        for piece in storage.read_at(split.path, split.start, split.records * RECORD_LEN):
+            raw = held + piece
+            n = len(raw) // RECORD_LEN
+            held = raw[n * RECORD_LEN :]
+            rows = np.frombuffer(raw, dtype=np.uint8, count=n * RECORD_LEN).reshape(n, RECORD_LEN)
+            arrays, names = [_binary(rows[:, :KEY_LEN]), _binary(rows[:, KEY_LEN:])], ["key", "value"]
+            if self.positions:
+                arrays += [pa.array([name] * n, pa.string()), pa.array(np.arange(at, at + n))]
+                names += ["file", "row"]
+            at += n
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -108,21 +105,20 @@ class Written(WriterCommitMessage):
 
 class RecordWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
+        self.path, self.overwrite = options["path"], overwrite
         self.cap = int(options["cap"]) if options.get("cap") else None
         if self.cap is not None and (self.cap <= 0 or self.cap % RECORD_LEN):
             raise ValueError(f"cap must be a positive multiple of {RECORD_LEN} bytes")
         self.bases = [int(x) for x in options["bases"].split(",")] if options.get("bases") else None
         if self.cap is not None and self.bases is None:
             raise ValueError("a cap needs bases, else file numbers of tasks would collide")
-        self.staging = os.path.join(self.path, f"_staging-{uuid.uuid4().hex}")
+        self.staging = f"{self.path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
 
     def write(self, batches) -> Written:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         task, attempt = context.partitionId(), context.taskAttemptId()
-        os.makedirs(self.staging, exist_ok=True)
         base = self.bases[task] if self.bases else task
         per_file = self.cap // RECORD_LEN if self.cap else None
         files, out, room = [], None, 0
@@ -135,8 +131,8 @@ class RecordWriter(DataSourceArrowWriter):
                         if out is not None:
                             out.close()
                         name = f"partition.{base + len(files)}"
-                        temp = os.path.join(self.staging, f"{name}-{attempt}")
-                        out, room = open(temp, "wb"), per_file if per_file else 1 << 62
+                        temp = f"{self.staging}/{name}-{attempt}"
+                        out, room = storage.create(temp), per_file if per_file else 1 << 62
                         files.append((temp, name))
                     out.write(rows[:room].tobytes())
                     taken = min(room, len(rows))
@@ -147,17 +143,22 @@ class RecordWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list) -> None:
-        os.makedirs(self.path, exist_ok=True)
+        storage.make_folder(self.path)
+        old = {name for name, _ in storage.listed(self.path)}
+        new = [pair for m in messages for pair in (m.files if m else ())]
+        clash = sorted(old & {name for _, name in new})
+        if clash and not self.overwrite:
+            storage.remove(self.staging)
+            raise FileExistsError(f"{self.path} holds {clash[0]} already")
+        for temp, name in new:
+            storage.move(temp, f"{self.path.rstrip('/')}/{name}")
         if self.overwrite:
-            for old in data_files([self.path]):
-                os.remove(old)
-        for m in messages:
-            for temp, name in m.files if m else ():
-                os.replace(temp, os.path.join(self.path, name))
-        shutil.rmtree(self.staging, ignore_errors=True)
+            for name in sorted(old - {name for _, name in new}):
+                storage.remove(f"{self.path.rstrip('/')}/{name}")
+        storage.remove(self.staging)
 
     def abort(self, messages: list) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        storage.remove(self.staging)
 
 
 class FixedRecordSource(DataSource):
@@ -166,7 +167,8 @@ class FixedRecordSource(DataSource):
         return "fixedrecord"
 
     def schema(self):
-        return RECORD_SCHEMA
+        extra = [T.StructField("file", T.StringType(), False), T.StructField("row", T.LongType(), False)]
+        return T.StructType([*RECORD_SCHEMA.fields, *(extra if self.options.get("positions", "false").lower() == "true" else [])])
 
     def reader(self, schema) -> RecordReader:
         return RecordReader(self.options)
@@ -179,9 +181,9 @@ def register(spark) -> None:
     spark.dataSource.register(FixedRecordSource)
 
 
-def read_records(spark, paths: list[str], strict: bool = False):
+def read_records(spark, paths: list[str], strict: bool = False, positions: bool = False):
     """All records of files and folders."""
     import json
 
     register(spark)
-    return spark.read.format("fixedrecord").option("paths", json.dumps(paths)).option("strict", str(strict).lower()).load()
+    return spark.read.format("fixedrecord").option("paths", json.dumps(paths)).option("strict", str(strict).lower()).option("positions", str(positions).lower()).load()

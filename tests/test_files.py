@@ -55,6 +55,53 @@ def test_output_is_cut_at_the_cap(spark, tmp_path):
     check(tmp_path / "out", recs)
 
 
+def test_output_must_be_empty_or_is_replaced(spark, tmp_path):
+    put(tmp_path / "in" / "a", records(1, 3000))
+    sort_files(spark, [str(tmp_path / "in")], str(tmp_path / "out"), cap=50_000, ranges=3)
+    put(tmp_path / "in" / "a", records(2, 700))
+    with pytest.raises(FileExistsError):
+        sort_files(spark, [str(tmp_path / "in")], str(tmp_path / "out"), ranges=2)
+    check(tmp_path / "out", records(1, 3000))
+    sort_files(spark, [str(tmp_path / "in")], str(tmp_path / "out"), ranges=2, overwrite=True)
+    check(tmp_path / "out", records(2, 700))
+
+
+def test_a_hot_key_is_split_by_value(spark, tmp_path):
+    recs = records(3, 6000, 0.9)
+    put(tmp_path / "in" / "a", recs)
+    done = sort_files(spark, ["file://" + str(tmp_path / "in")], str(tmp_path / "out"), ranges=8)
+    sizes = [len(p) // 100 for p in read_out(tmp_path / "out")]
+    assert done.ranges == 8 and len(sizes) == 8 and max(sizes) < 2 * 6000 / 8
+    check(tmp_path / "out", recs)
+
+
+def test_more_ranges_than_a_tree_holds(spark, tmp_path):
+    recs = records(4, 3000, 0.5)
+    put(tmp_path / "in" / "a", recs)
+    assert sort_files(spark, [str(tmp_path / "in")], str(tmp_path / "out"), ranges=300).ranges == 300
+    check(tmp_path / "out", recs)
+
+
+def test_bytes_dropped_are_counted(spark, tmp_path):
+    put(tmp_path / "in" / "a", records(5, 20), b"x" * 37)
+    put(tmp_path / "in" / "b", [], b"y" * 5)
+    assert sort_files(spark, [str(tmp_path / "in")], str(tmp_path / "out"), ranges=1).dropped == 42
+
+
+def test_storage(tmp_path):
+    from pyarrow import fs
+
+    from keyloom.sources import storage
+
+    storage.register_scheme("sub", lambda uri: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), uri.removeprefix("sub://")))
+    storage.save("sub://a/b/c", b"hello")
+    assert storage.size_of("sub://a/b/c") == 5 and storage.listed("sub://a/b") == [("c", 5)] and b"".join(storage.read_at("sub://a/b/c", 1, 3)) == b"ell"
+    assert (tmp_path / "a" / "b" / "c").read_bytes() == b"hello" and storage.data_files([f"file://{tmp_path}/a/b"])[0][1] == 5
+    storage.remove("sub://a")
+    assert storage.size_of("sub://a/b/c") == -1 and storage.listed("sub://nowhere") == []
+    storage.remove("sub://a")
+
+
 def test_identical_files_keep_every_copy(spark, tmp_path):
     recs = records(2, 300)
     for i in range(9):
@@ -136,6 +183,70 @@ def test_job_errors(tmp_path):
         jobs.Directories((str(tmp_path / "nowhere"),), str(tmp_path / "out")).prepared()
 
 
+def test_engine_api(spark, tmp_path):
+    e = engine(tmp_path)
+    e.context.spark = spark
+    assert e.wait_init(5) is e and e.get_num_machines() == 1 and len(e.machine_addrs()) == 1 and ":" in e.net_addr()
+    with pytest.raises(ValueError):
+        e.add_handler("__sync__", print)
+    for bad in (1.5, None, True, [1]):
+        with pytest.raises(TypeError):
+            jobs.JobSpec("x", (bad,))
+    with pytest.raises(ValueError):
+        jobs.JobSpec("x", (2**63,))
+    made = tuple(jobs.FileEntry(f"@{{working}}/{n}") for n in "ab")
+    e.add_handler("touch", lambda c, args, i, o: [open(p, "w").close() for p in o] and None)
+    e.add_handler("idle", lambda *a: None)
+    e.run_jobs([jobs.JobSpec("touch", ("t", 1, b"x"), (), made)])
+    with pytest.raises(jobs.JobError) as err:
+        e.run_jobs([jobs.JobSpec("idle", (), (), (jobs.FileEntry("@{working}/none"),))])
+    assert err.value.kind is jobs.ErrorKind.OUTPUT_ERROR
+    e.run_jobs([jobs.JobSpec("touch", (), (), (jobs.FileEntry("@{working}/c"),))], sync=True)
+    assert sorted(os.listdir(e.context.directories.working)) == ["c"]
+    order = []
+    e.add_handler("note", lambda c, args, i, o: order.append(args[0]))
+    e.schedule = lambda specs: [[s] for s in reversed(specs)]
+    e.run_jobs([jobs.JobSpec("note", (k,)) for k in range(4)])
+    assert order == [3, 2, 1, 0]
+    e.add_handler("fail", lambda *a: 1 / 0)
+    with pytest.raises(jobs.JobError) as err:
+        e.run_jobs([jobs.JobSpec("fail")])
+    assert isinstance(err.value.causes()[0], ZeroDivisionError)
+    assert not e.wait_for_complete(0)
+    e.complete()
+    assert e.wait_for_complete(0)
+    with pytest.raises(jobs.JobError):
+        e.run_jobs([])
+
+
+def test_the_four_jobs(spark, tmp_path):
+    from keyloom.plans import handlers
+
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in" / "a", records(1, 120), b"tail")
+    put(tmp_path / "in" / "b", records(2, 80))
+    e = handlers.sorting_engine(jobs.Context(spark, jobs.Directories((str(tmp_path / "in"),), str(tmp_path / "out")).prepared()))
+    a, b = e.context.directories.input_files()
+    work = lambda n: jobs.FileEntry(f"@{{working}}/{n}")
+    data = lambda n: (tmp_path / "out" / "working" / n).read_bytes()
+    cut = lambda raw: [raw[i : i + 100] for i in range(0, len(raw), 100)]
+    assert e.run_jobs([jobs.JobSpec("sample", (), (a,))])[0].retval == b"".join(records(1, 120))
+    e.run_jobs([jobs.JobSpec("sort", (), (a, b), (work("s.0"), work("s.1")))])
+    want = sorted(records(1, 120) + records(2, 80))
+    assert cut(data("s.0")) == cut(data("s.1")) == want
+    ends = (b"\x40" + bytes(9), b"\x40" + bytes(9), MAX_KEY)
+    e.run_jobs([jobs.JobSpec("partition", ends, (work("s.0"),), tuple(work(f"p.{i}") for i in range(3)))])
+    assert cut(data("p.0")) == [r for r in want if r[:10] < ends[0]] and data("p.1") == b"" and cut(data("p.2")) == [r for r in want if r[:10] >= ends[0]]
+    e.run_jobs([jobs.JobSpec("merge", (5_000,), (work("p.2"), work("p.0")), tuple(jobs.FileEntry(f"@{{output}}/partition.{i}") for i in range(4)))])
+    got = [(tmp_path / "out" / f"partition.{i}").read_bytes() for i in range(4)]
+    assert [len(x) for x in got] == [5_000] * 4 and cut(b"".join(got)) == want
+    e.run_jobs([jobs.JobSpec("merge", (5_000,))])
+    for spec in (jobs.JobSpec("sample", (), (a, b)), jobs.JobSpec("partition", (), (a,)), jobs.JobSpec("partition", (MAX_KEY,), (a, b), (work("x"),)), jobs.JobSpec("merge", (150,), (a,), (work("x"),)), jobs.JobSpec("merge", (), (a,), (work("x"),)), jobs.JobSpec("merge", (100,), (a,), (work("x"),))):
+        with pytest.raises(jobs.JobError) as err:
+            e.run_jobs([spec])
+        assert err.value.kind is jobs.ErrorKind.BODY_ERROR and isinstance(err.value.__cause__, ValueError)
+
+
 def test_stream_to_sorted_runs(spark, tmp_path):
     for i in range(2):
         recs = records(10 + i, 200)

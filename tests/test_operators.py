@@ -69,7 +69,7 @@ def test_ranges_are_left_inclusive_and_empty_ones_exist(spark, ends, want):
     df = frame(spark, [(KEY(k), b"") for k in (0x01, 0x05, 0x10, 0x15, 0x20)])
     assigned = df.withColumn("pid", partitioning.assign(df["key"], ends))
     assert [r.n for r in partitioning.sizes(assigned, len(ends)).orderBy("pid").collect()] == want
-    joined = partitioning.range_join(df, partitioning.ranges_frame(spark, ends))
+    joined = partitioning.range_join(df, ends, partitioning.ranges_frame(spark, ends))
     assert sorted((bytes(r.key), r.pid) for r in joined.collect()) == sorted((bytes(r.key), r.pid) for r in assigned.select("key", "pid").collect())
 
 
@@ -80,6 +80,10 @@ def test_assignment_equals_bisection_in_both_ways(spark):
     want = sorted((k, bisect_right(ends, k)) for k, _ in rows)
     assert sorted((bytes(r.key), r.pid) for r in df.withColumn("pid", partitioning.assign(df["key"], ends)).collect()) == want
     assert sorted((bytes(r.key), r.pid) for r in partitioning.assign_many(df, ends).collect()) == want
+    edges = [(bytes(10), b""), (b"\x00" * 9 + b"\x01", b""), (b"a" + bytes(9), b""), (b"\xff" * 10, b"")]
+    ends = [b"\x00" * 9 + b"\x01", b"a" + bytes(9), b"a" + bytes(9) + b"x", R.MAX_KEY]
+    got = {bytes(r.key): r.pid for r in partitioning.assign_many(frame(spark, edges), ends).collect()}
+    assert got == {k: min(bisect_right(ends, k), 3) for k, _ in edges}
 
 
 def test_exchange_gives_each_range_a_task(spark):
@@ -110,10 +114,10 @@ def test_caps_hold_whole_records(cap):
 
 
 def test_validators(spark):
-    good = [(i, bytearray(KEY(i // 2))) for i in range(40)]
-    bad = [(i, bytearray(KEY(39 - i))) for i in range(40)]
-    f = lambda rows, b: validate.order_violations(spark.createDataFrame(rows, "pos long, key binary"), block=b).first()[0]
-    assert [f(good, 7), f(bad, 7), f(bad, 1), f(good[:1], 7)] == [0, 39, 39, 0]
+    good = [(bytearray(KEY(i // 2)),) for i in range(40)]
+    bad = [(bytearray(KEY(39 - i)),) for i in range(40)]
+    f = lambda rows, n: validate.order_violations(spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "key binary")).first()[0]
+    assert [f(good, 7), f(bad, 7), f(bad, 1), f(bad, 40), f(good[:1], 7), f([], 2)] == [0, 39, 39, 39, 0, 0]
     overlap = spark.createDataFrame([(0, bytearray(KEY(5))), (1, bytearray(KEY(4)))], "pid long, key binary")
     assert validate.range_violations(overlap).first()[0] == 1
     rows = frame(spark, [(KEY(1), b"a"), (KEY(1), b"b"), (KEY(2), b"a")])
@@ -137,6 +141,22 @@ def test_spread_sample_does_not_depend_on_partitions(spark):
     assert a == b and 120 < len(a) < 300
 
 
+def test_spread_sample_of_a_hot_key_is_bounded(spark):
+    df = datagen.uniform(spark, 20_000, seed=4).withColumn("key", F.when(F.col("id") % 2 == 0, F.lit(bytearray(b"hot-key-00"))).otherwise(F.col("key")))
+    for seed in (1, 17, 31):
+        got = sampling.spread(df.select("key", "value"), 1000, seed=seed).collect()
+        assert 800 < len(got) < 1200 and 350 < sum(bytes(r.key) == b"hot-key-00" for r in got) < 650
+
+
+def test_positions_within_groups_of_any_size(spark):
+    rows = [(0 if i % 10 else i // 10 % 5 + 1, bytearray(KEY(i * 37 % 251, i % 7)), i) for i in range(1000)]
+    got = sorting.run_sort(spark.createDataFrame(rows, "run long, key binary, value long").repartition(5)).collect()
+    want, seen = {}, {}
+    for run, key, value in sorted(rows, key=lambda r: (r[0], bytes(r[1]), r[2])):
+        want[value] = seen[run] = seen.get(run, -1) + 1
+    assert {r.value: r.pos for r in got} == want
+
+
 def test_catalog(spark):
     make = lambda rows: spark.createDataFrame(rows, catalog.SCHEMA)
     c = make([(0, "@{working}/a.in", 1, [0]), (0, "@{working}/b.in", 1, [0]), (1, "@{input}/c.in", 1, [1]), (1, "@{input}/d.in", 1, [1])])

@@ -28,8 +28,3 @@ def test_query_equals_sql(spark, sf, duck, name):
     kinds = {n: str(t) for n, t in zip(want.column_names, want.schema.types)}
     same = {"bigint": "int64", "int": "int32", "string": "string", "boolean": "bool", "double": "double"}
     assert {n: same[k] for n, k in df.dtypes} == kinds
-
-
-def test_rows_only(spark, sf):
-    rows = queries.exchange_layout(spark, sf).collect()
-    assert sorted(r.pid for r in rows) == [0, 1, 2, 3, 5, 6] and len({r.task for r in rows}) == 6
