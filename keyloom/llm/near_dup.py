@@ -16,10 +16,10 @@ buckets never make all pairs:
 3. In buckets that still hold several components, what lies outside the largest is compared with
    the rest, other components only: no link between classes is lost to the choice of leaders, and a
    bucket that is one group of copies is done. Buckets beyond ``BLOCK`` rows do so in blocks of that
-   size, two of them a task, by longer signatures: those rule out what would be very many pairs.
+   size: a task holds the shingle sets of two blocks, compares all of them exactly and returns a forest of links.
 
-Screens rule out a pair whose equal registers lie four standard deviations below the threshold in
-both sets, in buckets of every size; a pair at the very threshold is lost to one about as rarely as to the bands
+In smaller buckets a screen comes first: it rules out a pair whose equal registers lie four standard deviations below
+the threshold in both sets. A pair at the very threshold is lost to it about as rarely as to the bands
 (1e-4), one above it far more rarely. Verification is exact: probability Jaccard or plain Jaccard of the shingles of at least
 ``threshold``.
 
@@ -46,15 +46,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import cut, hot_keys, spread_join, tidy
-from keyloom.llm.components import components
+from keyloom.llm.components import components, spanning
 from keyloom.llm.tokens import WideHasher, mix, ngrams
 
 SHINGLE, REGISTERS, ROWS = 5, 120, 5
 BANDS = REGISTERS // ROWS
 #: Standard deviations below the threshold at which a pair is not verified.
 SCREEN = 4
-#: Larger buckets are compared in blocks of so many rows, by signatures of so many registers.
-BLOCK, LONG = 128, 1024
+#: Larger buckets are compared in blocks of so many rows.
+BLOCK = 128
 #: Up to so many ids, 8 bytes each, are sent to the texts; beyond, texts and ids are dealt out by id.
 SENT_IDS = 1_000_000
 
@@ -65,6 +65,12 @@ def shingles(words: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     return found, 1 + np.log2(count)
 
 
+def weighted_set(s: bytes, n: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and weights from what ``_sets_of`` packs."""
+    found = np.frombuffer(s, np.uint64)
+    return found, np.ones(len(found)) if n is None else 1 + np.log2(np.frombuffer(n, np.uint32))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of probability Jaccard and plain Jaccard of two weighted shingle sets.
 
@@ -120,10 +126,9 @@ def plain_signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTE
     return out
 
 
-def least_equal(threshold: float, m: int = REGISTERS, chance: float = 0.0) -> int:
-    """Equal registers of ``m`` that a pair at ``threshold`` has but for SCREEN standard deviations; unequal shingles agree by ``chance``."""
-    least = threshold - SCREEN * np.sqrt(threshold * (1 - threshold) / m)
-    return int(m * (least + (1 - least) * chance))
+def least_equal(threshold: float, m: int = REGISTERS) -> int:
+    """Equal registers of ``m`` that a pair at ``threshold`` has but for SCREEN standard deviations."""
+    return int(m * (threshold - SCREEN * np.sqrt(threshold * (1 - threshold) / m)))
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -176,7 +181,7 @@ def _texts_of(texts: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """(node, s, n) of each of ``need``: distinct shingles and how often they occur, packed; repetitive texts become short."""
+    """(node, s, n) of each of ``need``: distinct shingles, and how often they occur if any repeats, packed; repetitive texts become short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WideHasher(limit=100_000)
@@ -184,7 +189,7 @@ def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 got = [np.unique(ngrams(hasher.ids(t), SHINGLE), return_counts=True) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in got], pa.binary())], names=["node", "s", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([n.astype(np.uint32).tobytes() if n.max(initial=1) > 1 else None for _, n in got], pa.binary())], names=["node", "s", "n"])
         tidy()
 
     # repeated rows have equal sets: one of them, before the shuffle
@@ -207,12 +212,11 @@ def verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, threshold: fl
     both = spread_join(left, held.toDF("b", "sb", "nb"), "b", "a", _hot_b(pairs)).select("a", "b", "sa", "na", "sb", "nb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda s, n: (np.frombuffer(s, np.uint64), 1 + np.log2(np.frombuffer(n, np.uint32)))
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 sets = zip(*(part.column(i).to_pylist() for i in range(2, 6)))
-                s = [similarity(of(sa, na), of(sb, nb)) for sa, na, sb, nb in sets]
+                s = [similarity(weighted_set(sa, na), weighted_set(sb, nb)) for sa, na, sb, nb in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
         tidy()
 
@@ -246,51 +250,78 @@ def _small(placed: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
     return cross.select("a", "b")
 
 
-def _large(placed: DataFrame, texts: DataFrame, members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """The same for larger buckets, in blocks, with longer signatures.
+def block_links(p: list[tuple[np.ndarray, np.ndarray]], q: list[tuple[np.ndarray, np.ndarray]], threshold: float, columns: int = 4096) -> np.ndarray:
+    """Which weighted shingle sets of ``p`` and ``q`` have a similarity of at least ``threshold``; exact.
 
-    What lies outside the largest component meets the bucket block by block; a task holds two blocks
-    and returns only pairs that the long signatures do not both rule out. Their registers keep 8
-    bits, so unequal shingles agree in one of 256.
+    Shared shingles are counted by products of indicator matrices, ``columns`` shingles at a time. Where shingles
+    repeat, probability Jaccard is at most the share that either set's shared shingles have of its weight; what that
+    does not rule out is computed.
     """
-    need = members.select("node", "id", "th").join(placed.select("node").distinct(), "node")
+    sizes = [np.array([len(s) for s, _ in x], dtype=np.float64) for x in (p, q)]
+    sums = [np.array([w.sum() for _, w in x]) for x in (p, q)]
+    heavy = [np.array([len(w) > 0 and w.max() > 1 for _, w in x]) for x in (p, q)]
+    flat = [np.concatenate([s for s, _ in x] or [np.zeros(0, np.uint64)]) for x in (p, q)]
+    weight = [np.concatenate([w for _, w in x] or [np.zeros(0)]).astype(np.float32) for x in (p, q)]
+    row = [np.repeat(np.arange(len(x)), n.astype(np.int64)) for x, n in zip((p, q), sizes)]
+    words = np.intersect1d(flat[0], flat[1])
+    shared = np.zeros((len(p), len(q)))
+    of_p, of_q = np.zeros_like(shared), np.zeros_like(shared)
+    at = [np.searchsorted(words, f) for f in flat]
+    on = [np.nonzero((i < len(words)) & (words[np.minimum(i, len(words) - 1)] == f))[0] if len(words) else np.zeros(0, np.int64) for i, f in zip(at, flat)]
+    on = [o[np.argsort(i[o], kind="stable")] for o, i in zip(on, at)]
+    place = [i[o] for i, o in zip(at, on)]
+    weighted = heavy[0].any() or heavy[1].any()
+    for lo in range(0, len(words), columns):
+        is_in, weighs = [], []
+        for k, n in enumerate((len(p), len(q))):
+            a, b = np.searchsorted(place[k], (lo, lo + columns))
+            own, col = on[k][a:b], place[k][a:b] - lo
+            m = np.zeros((n, columns), np.float32)
+            m[row[k][own], col] = 1
+            is_in.append(m)
+            if weighted:
+                w = np.zeros((n, columns), np.float32)
+                w[row[k][own], col] = weight[k][own]
+                weighs.append(w)
+        shared += is_in[0] @ is_in[1].T
+        if weighted:
+            of_p += weighs[0] @ is_in[1].T
+            of_q += is_in[0] @ weighs[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    near = (shared > 0) & (shared >= threshold * union - 1e-9)
+    near &= np.divide(shared, union, out=np.zeros_like(shared), where=union > 0) >= threshold
+    if weighted:
+        room = threshold * (1 - 1e-5)  # products are in single precision
+        maybe = (heavy[0][:, None] | heavy[1][None, :]) & ~near & (of_p >= room * sums[0][:, None]) & (of_q >= room * sums[1][None, :]) & (shared > 0)
+        for i, j in zip(*np.nonzero(maybe)):
+            near[i, j] = similarity(p[i], q[j]) >= threshold
+    return near
 
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WideHasher(limit=100_000)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                part = batch.slice(start, 100)
-                sets = [shingles(hasher.ids(t)) for t in part.column(1).to_pylist()]
-                got, plain = signatures(sets, LONG).astype(np.uint8), plain_signatures(sets, LONG)
-                plain = pa.array([None if r is None else r.astype(np.uint8).tobytes() for r in plain], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in got], pa.binary()), plain], names=["node", "long", "plain"])
-        tidy()
 
-    signed = _texts_of(texts, need).mapInArrow(long, "node long, long binary, plain binary").groupBy("node").agg(F.first("long").alias("long"), F.first("plain").alias("plain"))
-    rows = placed.join(cut(signed), "node").withColumns({"nxb": F.ceil(F.col("nx") / block), "nyb": F.ceil(F.col("n") / block), "h": F.xxhash64("node")})
-    base = ["key", "node", "c", (F.col("c") != F.col("most")).alias("outside"), "long", "plain"]
+def _large(placed: DataFrame, texts: DataFrame, members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) across components in larger buckets, verified in blocks.
+
+    What lies outside the largest component meets the bucket block by block; a task holds the shingle sets of
+    two blocks and returns a spanning forest of their links, so its output is linear in its input.
+    """
+    need = members.select("node", "id", "th").join(placed.select("node").distinct(), "node")
+    sets = cut(_sets_of(texts, need)).toDF("node", "words", "counts")
+    rows = placed.join(sets, "node").withColumns({"nxb": F.ceil(F.col("nx") / block), "nyb": F.ceil(F.col("n") / block), "h": F.xxhash64("node")})
+    base = ["key", "node", "c", (F.col("c") != F.col("most")).alias("outside"), "words", "counts"]
     x = rows.where("c <> most").select(*base, F.lit(0).alias("side"), F.expr("pmod(h, nxb)").alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nyb") - 1)).alias("yb"))
     y = rows.select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nxb") - 1)).alias("xb"), F.expr("pmod(h, nyb)").alias("yb"))
-    least = least_equal(threshold, LONG, 1 / 256)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         p, q = group[group.side == 0], group[group.side == 1]
         if not len(p) or not len(q):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        matrix = lambda x: np.frombuffer(b"".join(x), np.uint8).reshape(-1, LONG)
-        u, v = matrix(p["long"]), matrix(q["long"])
-        own, other = p.plain.notna().to_numpy(), q.plain.notna().to_numpy()
-        up, vp = (matrix(z["plain"].where(z["plain"].notna(), z["long"])) for z in (p, q))
         cp, cq, ip, iq, out = p.c.to_numpy(), q.c.to_numpy(), p.node.to_numpy(), q.node.to_numpy(), q.outside.to_numpy()
-        a, b = [], []
-        for i in range(len(p)):
-            near = (v == u[i]).sum(axis=1) >= least
-            also = np.nonzero((other | own[i]) & ~near)[0]  # where either side repeats shingles
-            near[also] = (vp[also] == up[i]).sum(axis=1) >= least
-            near &= (cq != cp[i]) & (~out | (ip[i] < iq))
-            b.append(iq[near])
-            a.append(np.full(int(near.sum()), ip[i]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        near = block_links(*([weighted_set(s, n) for s, n in zip(z.words, z.counts)] for z in (p, q)), threshold)
+        near &= (cp[:, None] != cq[None, :]) & (~out[None, :] | (ip[:, None] < iq[None, :]))
+        i, j = np.nonzero(near)
+        nodes, local = np.unique(np.concatenate([ip[i], iq[j]]), return_inverse=True)
+        u, v = spanning(local[: len(i)], local[len(i) :], len(nodes))
+        return pd.DataFrame({"a": nodes[u], "b": nodes[v]})
 
     return x.union(y).groupBy("key", "xb", "yb").applyInPandas(compare, "a long, b long")
 
@@ -318,9 +349,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     found = cut(verify(texts, members, best, threshold).select("a", "b"))
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     placed = cut(_mixed(buckets, components(found), hot))
-    cross = _small(placed.where(F.col("n") <= BLOCK), sides, threshold).union(_large(placed.where(F.col("n") > BLOCK), texts, members, threshold))
+    cross = _small(placed.where(F.col("n") <= BLOCK), sides, threshold)
     cross = cut(ordered(cross).distinct().join(ordered(best), ["a", "b"], "left_anti"))
-    second = verify(texts, members, cross, threshold).select("a", "b")
+    second = cut(verify(texts, members, cross, threshold).select("a", "b").union(_large(placed.where(F.col("n") > BLOCK), texts, members, threshold)))
     parts = components(found.union(second))
     named = members.select("fp", "id", "th", "node").join(parts, "node", "left").select("fp", "id", "th", F.coalesce("component", "node").alias("c"))
     firsts = named.groupBy("c").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n"))

@@ -129,7 +129,22 @@ def test_buckets_of_every_size_give_the_same_pairs(spark, block):
         signed, plain = near_dup.signatures(sets).view(np.int32), near_dup.plain_signatures(sets)
         sides = spark.createDataFrame([(i, s.tolist(), None if p is None else p.view(np.int32).tolist()) for i, (s, p) in enumerate(zip(signed, plain))], "node long, registers array<int>, plain array<int>")
         found = near_dup._small(placed, sides, 0.8)
-    assert {tuple(sorted(x)) for x in found.collect()} == {(2 * k, 2 * k + 1) for k in range(80)}
+    assert {tuple(sorted(x)) for x in found.collect()} == {(2 * k, 2 * k + 1) for k in range(80)}  # as a forest, too
+
+
+def test_links_of_blocks_equal_those_of_pairs():
+    rng = np.random.default_rng(17)
+    base = np.unique(rng.integers(0, 2**63, 260)).astype(np.uint64)
+    sets = []
+    for k in range(60):
+        s = np.unique(np.concatenate([rng.choice(base, 250 - 2 * (k % 40), replace=False), rng.integers(0, 2**63, k % 23).astype(np.uint64)]))
+        sets.append((s, 1 + np.log2(rng.integers(1, 9, len(s)) if k % 3 else np.ones(len(s)))))
+    sets += [(np.zeros(0, np.uint64), np.zeros(0)), (base[:1], np.ones(1)), (base[:5], np.full(5, 3.0))]
+    p, q = sets[:30], sets[30:] + sets[:3]
+    want = np.array([[near_dup.similarity(a, b) >= 0.8 for b in q] for a in p])
+    assert 0 < want.mean() < 1
+    for columns in (4096, 50):
+        assert (near_dup.block_links(p, q, 0.8, columns) == want).all()
 
 
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
