@@ -15,8 +15,8 @@ buckets never make all pairs:
    with the most equal registers, of either set, is verified on the texts; verified links give components.
 3. In buckets that still hold several components, what lies outside the largest is compared with
    the rest, other components only: no link between classes is lost to the choice of leaders, and a
-   bucket that is one group of copies is done. Buckets beyond ``BLOCK`` rows do so in blocks of that
-   size: a task holds the shingle sets of two blocks, compares all of them exactly and returns a forest of links.
+   bucket that is one group of copies is done. Buckets beyond ``SMALL`` rows do so in blocks:
+   a task holds the shingle sets of two blocks, compares all of them exactly and returns a forest of links.
 
 In smaller buckets a screen comes first: it rules out a pair whose equal registers lie four standard deviations below
 the threshold in both sets. A pair at the very threshold is lost to it about as rarely as to the bands
@@ -53,8 +53,8 @@ SHINGLE, REGISTERS, ROWS = 5, 120, 5
 BANDS = REGISTERS // ROWS
 #: Standard deviations below the threshold at which a pair is not verified.
 SCREEN = 4
-#: Larger buckets are compared in blocks of so many rows.
-BLOCK = 128
+#: Buckets of more than SMALL rows are compared in blocks of BLOCK rows.
+SMALL, BLOCK = 32, 128
 #: Up to so many ids, 8 bytes each, are sent to the texts; beyond, texts and ids are dealt out by id.
 SENT_IDS = 1_000_000
 
@@ -242,7 +242,7 @@ def _mixed(buckets: DataFrame, parts: DataFrame, hot: list[tuple]) -> DataFrame:
 
 
 def _small(placed: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) across components in buckets of at most BLOCK rows that pass the screen."""
+    """Pairs (a, b) across components in buckets of at most SMALL rows that pass the screen."""
     placed = placed.join(sides, "node")
     x = placed.where("c <> most").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("registers").alias("ra"), F.col("plain").alias("pa"))
     y = placed.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("most")).alias("outside"), F.col("registers").alias("rb"), F.col("plain").alias("pb"))
@@ -349,9 +349,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     found = cut(verify(texts, members, best, threshold).select("a", "b"))
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     placed = cut(_mixed(buckets, components(found), hot))
-    cross = _small(placed.where(F.col("n") <= BLOCK), sides, threshold)
+    cross = _small(placed.where(F.col("n") <= SMALL), sides, threshold)
     cross = cut(ordered(cross).distinct().join(ordered(best), ["a", "b"], "left_anti"))
-    second = cut(verify(texts, members, cross, threshold).select("a", "b").union(_large(placed.where(F.col("n") > BLOCK), texts, members, threshold)))
+    second = cut(verify(texts, members, cross, threshold).select("a", "b").union(_large(placed.where(F.col("n") > SMALL), texts, members, threshold)))
     parts = components(found.union(second))
     named = members.select("fp", "id", "th", "node").join(parts, "node", "left").select("fp", "id", "th", F.coalesce("component", "node").alias("c"))
     firsts = named.groupBy("c").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n"))
