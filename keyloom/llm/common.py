@@ -91,12 +91,17 @@ def thinned(label: Column, hashed: Column, counts: dict, about: int) -> Column:
     return keep
 
 
-def hot_keys(counts: DataFrame, key: str, total: int, least: int = 2_000, most_hot: int = 20_000) -> list[tuple]:
+#: Rows that one task can well read, whatever their keys.
+FEW_ROWS = 100_000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int, least: int = 2_000, most_hot: int = 20_000, worth: int = 0) -> list[tuple]:
     """(key, parts) of keys that more rows share than one task should read; ``counts`` has (key, n).
 
-    That is beyond ``least`` rows, or total / ``most_hot`` if that is more, so there are at most ``most_hot``.
+    That is beyond ``least`` rows, or total / ``most_hot`` if that is more, so there are at most ``most_hot``. Up
+    to ``worth`` rows in all are not worth a count that needs a shuffle: one task can read them.
     """
-    if total <= least:
+    if total <= max(least, worth):
         return []
     limit = max(least, total // most_hot)
     return [tuple(r) for r in counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit)).collect()]

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, hot_keys, spread_join
+from keyloom.llm.common import FEW_ROWS, cut, hot_keys, spread_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,11 +26,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while seen[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        hot = hot_keys(least, "u", 2 * seen[0])
+        hot = hot_keys(least, "u", 2 * seen[0], worth=FEW_ROWS)
         large = spread_join(both.where(F.col("v") > F.col("u")), least.select("u", F.least("u", "m").alias("m")), "u", "v", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = cut(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        hot = hot_keys(least, "u", seen[0])
+        hot = hot_keys(least, "u", seen[0], worth=FEW_ROWS)
         small = spread_join(large, least.select("u", "m"), "u", "v", hot).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         then, seen = seen, mark(now)

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, hot_keys, spread_join, tidy
+from keyloom.llm.common import FEW_ROWS, cut, hot_keys, spread_join, tidy
 from keyloom.llm.components import components, spanning
 from keyloom.llm.tokens import WideHasher, mix, ngrams
 
@@ -174,14 +174,19 @@ def _equal_registers() -> str:
     return f"CASE WHEN pa IS NULL AND pb IS NULL THEN {equal('ra', 'rb')} ELSE greatest({equal('ra', 'rb')}, {equal('coalesce(pa, ra)', 'coalesce(pb, rb)')}) END"
 
 
-def _texts_of(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """(node, t) of each of ``need`` (node, id, th), repeated rows as often as they are; few spare the texts a shuffle."""
-    few = need.limit(SENT_IDS + 1).count() <= SENT_IDS
-    return texts.join(F.broadcast(need) if few else need, ["id", "th"]).select("node", "t")
+def _texts_of(texts: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, t) of the distinct nodes ``asked`` for, repeated rows as often as they are; few spare the texts a shuffle.
+
+    ``members`` has (node, id, th).
+    """
+    asked = cut(asked)
+    sent = F.broadcast if asked.limit(SENT_IDS + 1).count() <= SENT_IDS else lambda x: x
+    need = members.select("node", "id", "th").join(sent(asked), "node")
+    return texts.join(sent(need), ["id", "th"]).select("node", "t")
 
 
-def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """(node, s, n) of each of ``need``: distinct shingles, and how often they occur if any repeats, packed; repetitive texts become short."""
+def _sets_of(texts: DataFrame, members: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, s, n) of each node ``asked`` for: distinct shingles, and how often they occur if any repeats, packed; repetitive texts become short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WideHasher(limit=100_000)
@@ -193,12 +198,12 @@ def _sets_of(texts: DataFrame, need: DataFrame) -> DataFrame:
         tidy()
 
     # repeated rows have equal sets: one of them, before the shuffle
-    return _texts_of(texts, need).mapInArrow(run, "node long, s binary, n binary").groupBy("node").agg(F.first("s").alias("s"), F.first("n").alias("n"))
+    return _texts_of(texts, members, asked).mapInArrow(run, "node long, s binary, n binary").groupBy("node").agg(F.first("s").alias("s"), F.first("n").alias("n"))
 
 
 def _hot_b(pairs: DataFrame) -> list[tuple]:
     """Nodes that very many of the checkpointed ``pairs`` have as b."""
-    return hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), "b", pairs.count())
+    return hot_keys(pairs.groupBy("b").agg(F.count("*").alias("n")), "b", pairs.count(), worth=FEW_ROWS)
 
 
 def verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -207,7 +212,7 @@ def verify(texts: DataFrame, members: DataFrame, pairs: DataFrame, threshold: fl
     ``members`` has (node, id, th). Only texts that are asked for are moved, as shingle sets.
     """
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    held = cut(_sets_of(texts, members.select("node", "id", "th").join(asked, "node")))
+    held = cut(_sets_of(texts, members, asked))
     left = pairs.join(held.toDF("a", "sa", "na"), "a")
     both = spread_join(left, held.toDF("b", "sb", "nb"), "b", "a", _hot_b(pairs)).select("a", "b", "sa", "na", "sb", "nb")
 
@@ -304,8 +309,7 @@ def _large(placed: DataFrame, texts: DataFrame, members: DataFrame, threshold: f
     What lies outside the largest component meets the bucket block by block; a task holds the shingle sets of
     two blocks and returns a spanning forest of their links, so its output is linear in its input.
     """
-    need = members.select("node", "id", "th").join(placed.select("node").distinct(), "node")
-    sets = cut(_sets_of(texts, need)).toDF("node", "words", "counts")
+    sets = cut(_sets_of(texts, members, placed.select("node").distinct())).toDF("node", "words", "counts")
     rows = placed.join(sets, "node").withColumns({"nxb": F.ceil(F.col("nx") / block), "nyb": F.ceil(F.col("n") / block), "h": F.xxhash64("node")})
     base = ["key", "node", "c", (F.col("c") != F.col("most")).alias("outside"), "words", "counts"]
     x = rows.where("c <> most").select(*base, F.lit(0).alias("side"), F.expr("pmod(h, nxb)").alias("xb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nyb") - 1)).alias("yb"))
@@ -355,7 +359,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", tex
     parts = components(found.union(second))
     named = members.select("fp", "id", "th", "node").join(parts, "node", "left").select("fp", "id", "th", F.coalesce("component", "node").alias("c"))
     firsts = named.groupBy("c").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n"))
-    named = spread_join(named, firsts.select("c", "first"), "c", "fp", hot_keys(firsts, "c", total)).select("fp", "first")
+    named = spread_join(named, firsts.select("c", "first"), "c", "fp", hot_keys(firsts, "c", total, worth=FEW_ROWS)).select("fp", "first")
     rows_n = members.agg(F.sum("n")).first()[0] or 0
     out = spread_join(sketch.select("id", "th", "fp"), named, "fp", "id", hot_keys(members, "fp", rows_n))
     out = out.select("id", F.col("first.id").alias("class_id"), ((F.col("id") == F.col("first.id")) & (F.col("th") == F.col("first.th"))).alias("kept"), F.col("th").alias("text_hash"))
