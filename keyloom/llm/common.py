@@ -13,10 +13,16 @@ _HELD: dict[object, object] = {}
 
 
 def held(key: object, make: Callable[[], object]) -> object:
-    """Large tables of a Python worker: the last ones stay for its next task, others are let go."""
+    """Large tables of a Python worker: the last ones stay for its next task, others are let go.
+
+    Those go back to the system before the next are made, and so does what making them took: else a worker
+    that turns from one operator to another holds both.
+    """
     if key not in _HELD:
         _HELD.clear()
+        tidy()
         _HELD[key] = make()
+        tidy()
     return _HELD[key]
 
 

@@ -23,20 +23,24 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import held, labelled_sample, tidy
 
-#: Symbols with a column of the tables: the most frequent letters. Arcs of all others are in a sorted list.
+#: Symbols with a column of the tables at most: the most frequent letters. Arcs of all others are in a sorted list.
 DENSE = 56
 #: A letter that no sample has.
 UNKNOWN = (1 << 21) - 1
 #: Texts that advance together, until so few are left that each is parsed on its own.
 FEW = 24
+#: Rows that are folded and parsed together, and bytes of their texts; a longer text is parsed alone. A symbol takes eight bytes.
+ROWS, BYTES = 4000, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -106,34 +110,48 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+def arcs_of(automaton: list[dict[int, int]]) -> tuple[int, np.ndarray]:
+    """The number of states, and of every arc its state, symbol and target (rows)."""
+    degree = np.fromiter(map(len, automaton), np.int32, len(automaton))
+    arcs = np.empty((3, int(degree.sum())), dtype=np.int32)
+    arcs[0] = np.repeat(np.arange(len(automaton), dtype=np.int32), degree)
+    arcs[1] = np.fromiter(chain.from_iterable(automaton), np.int32, arcs.shape[1])
+    arcs[2] = np.fromiter(chain.from_iterable(a.values() for a in automaton), np.int32, arcs.shape[1])
+    return len(automaton), arcs
+
+
 class CrossParser:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.folder = Folder(model.alphabet)
-        arcs: list[dict[int, int]] = []
-        root = []
+        # one automaton's dictionaries at a time; of the others their arcs, 12 bytes each
+        found, root, base = [], [], 0
         for s in model.samples:
-            base = len(arcs)
             root.append(base)
-            arcs += [{c: t + base for c, t in a.items()} for a in suffix_automaton(np.frombuffer(s, np.int32).tolist())]
+            states, arcs = arcs_of(suffix_automaton(np.frombuffer(s, np.int32).tolist()))
+            arcs[0] += base
+            arcs[2] += base
+            found.append(arcs)
+            base += states
         self.root = np.array(root, dtype=np.int64)
         # one table for all languages; a missing arc is -1, and the last state has none: there a phrase starts
-        self.new = len(arcs)
-        self.flat = np.full((len(arcs) + 1) * DENSE, -1, dtype=np.int32)
-        rare = []
-        for i, a in enumerate(arcs):
-            for c, t in a.items():
-                if c < DENSE:
-                    self.flat[i * DENSE + c] = t
-                else:
-                    rare.append((i << 21 | c, t))
-        rare.sort()
-        self.rare_keys, self.rare_next = np.array([k for k, _ in rare], dtype=np.int64), np.array([t for _, t in rare], dtype=np.int64)
-        self.rare = dict(rare)
+        self.new = base
+        self.width = min(DENSE, len(model.alphabet) + 1)  # a short alphabet needs fewer columns
+        self.flat = np.full((base + 1) * self.width, -1, dtype=np.int32)
+        keys, targets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for state, symbol, target in found:
+            dense = symbol < self.width
+            self.flat[state[dense] * np.int64(self.width) + symbol[dense]] = target[dense]
+            keys.append(state[~dense].astype(np.int64) << 21 | symbol[~dense])
+            targets.append(target[~dense].astype(np.int64))
+        self.rare_keys, self.rare_next = np.concatenate(keys), np.concatenate(targets)
+        order = np.argsort(self.rare_keys)
+        self.rare_keys, self.rare_next = self.rare_keys[order], self.rare_next[order]
+        self.rare = dict(zip(self.rare_keys.tolist(), self.rare_next.tolist()))
 
     def _arc(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        got = self.flat.take(state * DENSE + np.minimum(symbol, DENSE - 1)).astype(np.int64)
-        odd = np.nonzero(symbol >= DENSE)
+        got = self.flat.take(state * self.width + np.minimum(symbol, self.width - 1)).astype(np.int64)
+        odd = np.nonzero(symbol >= self.width)
         if len(odd[0]):
             key = state[odd] << 21 | symbol[odd]
             if len(self.rare_keys):
@@ -145,12 +163,12 @@ class CrossParser:
 
     def _rest(self, symbols: list[int], state: int, root: int) -> int:
         """Phrases that begin in ``symbols``, read from ``state``."""
-        flat, rare, new, n = self._view, self.rare, self.new, 0
+        flat, width, rare, new, n = self._view, self.width, self.rare, self.new, 0
         for c in symbols:
-            state = flat[state * DENSE + c] if c < DENSE else rare.get(state << 21 | c, -1)
+            state = flat[state * width + c] if c < width else rare.get(state << 21 | c, -1)
             if state < 0:
                 n += 1
-                state = flat[root * DENSE + c] if c < DENSE else rare.get(root << 21 | c, -1)
+                state = flat[root * width + c] if c < width else rare.get(root << 21 | c, -1)
                 if state < 0:
                     state = new
         return n
@@ -165,7 +183,7 @@ class CrossParser:
         if not order:
             return total
         lengths = np.array([len(texts[i]) for i in order])
-        every = np.concatenate([texts[i] for i in order]).astype(np.int64)
+        every = np.concatenate([texts[i] for i in order])
         start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         count, state = np.zeros((k, len(order)), dtype=np.int64), np.full((k, len(order)), self.new, dtype=np.int64)
         upto = int(lengths[few]) if len(order) > few else 0  # so far more than ``few`` texts go on
@@ -248,7 +266,21 @@ def train(rows: DataFrame, per_language: int = 20, longest: int = 200_000, lang:
             names.append(name)
             samples.append(np.concatenate(parts).astype(np.int32).tobytes())
     model = LanguageModel(tuple(names), alphabet, tuple(samples))
-    return calibrated(model, [(name, t) for name, texts in found.items() for t in texts[len(fitted[name]) :]]) if names else model
+    if names:
+        model = calibrated(model, [(name, t) for name, texts in found.items() for t in texts[len(fitted[name]) :]])
+        tidy()  # the driver's own automata are gone
+    return model
+
+
+def slices(batch: pa.RecordBatch, at: int, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in parts of at most ``rows`` rows and ``size`` bytes in column ``at``, one row at least."""
+    upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[start] + size, side="right")) - 1
+        end = min(max(end, start + 1), start + rows, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -266,8 +298,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_out:
         found = shared.value
         parser = held(("languages", hash(found)), lambda: CrossParser(found))
         for batch in batches:
-            for start in range(0, batch.num_rows, 4000):
-                part = batch.slice(start, 4000)
+            for part in slices(batch, at):
                 langs, scores = parser.predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f"c{i}" for i in range(len(names))), "l", "s"])
         tidy()

@@ -1,12 +1,15 @@
 """Language, toxicity and quality: held-out accuracy, odd rows, brute-force parts."""
 
 import random
+import tracemalloc
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.llm import lang_id, quality, queries, toxicity
+from keyloom.llm import common, lang_id, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -81,6 +84,41 @@ def test_phrases_equal_a_plain_parse(few):
         assert row.tolist() == [plain_parse(t.tolist(), np.frombuffer(s, np.int32).tolist()) for s in model.samples]
 
 
+def test_building_the_automata_takes_little_more_than_the_table():
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    model = made_model({name: " ".join(r.choice(words) for _ in range(4000)) for name in ("aa", "bb", "cc", "dd", "ee", "ff")})
+    tracemalloc.start()
+    try:
+        parser = lang_id.CrossParser(model)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert parser.flat.nbytes == (parser.new + 1) * 27 * 4  # a blank and 26 letters
+    assert peak < 1.6 * parser.flat.nbytes + 5e6  # the table of code points is 4.5 MB
+
+
+def test_slices_hold_all_rows_and_few_bytes():
+    texts = ["a" * 90, None, "", "é" * 30, "x" * 500, "y" * 70, "z", None, *["w" * 9] * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["i", "t"])
+    for part in (batch, batch.slice(2), batch.slice(3, 4), batch.slice(0, 0)):
+        got = list(lang_id.slices(part, 1, rows=10, size=100))
+        assert [i for x in got for i in x.column(0).to_pylist()] == part.column(0).to_pylist()
+        assert all(0 < x.num_rows <= 10 and (x.num_rows == 1 or sum(len((t or "").encode()) for t in x.column(1).to_pylist()) <= 100) for x in got)
+
+
+def test_a_worker_lets_tables_go_before_it_makes_others(monkeypatch):
+    class Large:
+        pass
+
+    order, first = [], weakref.ref(large := Large())
+    monkeypatch.setattr(common, "_HELD", {"old": large})
+    monkeypatch.setattr(common, "tidy", lambda: order.append("tidy" if first() is None else "tidy, old tables held"))
+    del large
+    assert common.held("new", lambda: order.append("make") or 7) == 7 == common.held("new", lambda: 8)
+    assert order == ["tidy", "make", "tidy"]
+
+
 def test_scripts_are_told_apart(spark):
     words = {"el": "και το να του της με για στο θα είναι", "ru": "и в не на что он как по это она", "he": "של את על לא הוא זה אני כל עם היא", "en": "the of and to in is that it for was", "ka": "და არის რომ ეს არ კი მე იყო მისი რა"}
     r = random.Random(5)
